@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finweave.llm import media, mixing, packing, pii, secrets, tokens
+from finweave.llm import media, mixing, near, packing, pii, secrets, tokens
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -27,6 +27,10 @@ def op2_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.decode(stored))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"), least=0.8)
+
+
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced")
 
@@ -47,6 +51,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_transport_streams": op2_transport_streams,
+    "op3_near_duplicates": op3_near_duplicates,
     "op7_pseudonyms": op7_pseudonyms,
     "op10_secrets": op10_secrets,
     "op4_best_fit_packing": op4_best_fit_packing,
