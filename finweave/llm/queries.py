@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finweave.llm import media, mixing, near, packing, pii, secrets, tokens
+from finweave.llm import media, mixing, near, packing, pii, secrets, tokens, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -35,6 +35,10 @@ def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), least=0.7, most=12_000)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents")).drop("spans_found")
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_transport_streams": op2_transport_streams,
     "op3_near_duplicates": op3_near_duplicates,
     "op7_pseudonyms": op7_pseudonyms,
+    "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op8_token_files": op8_token_files,
