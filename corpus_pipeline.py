@@ -1,6 +1,56 @@
-STAGES = []
+"""A corpus pipeline of five stages over ``documents``.
+
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of
+documents. ``run`` writes every stage's result to the shared folder and reads
+it back for the next, so a lost executor repeats a task and not the stages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from finweave.llm import mixing, near, packing, pii, queries, shared, toxicity
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.7."""
+    return toxicity.accepted(docs, queries.table(spark, sf_dir, "labels"), least=0.7, most=12_000)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near.deduplicated(docs, least=0.8)
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pseudonyms in the texts; n_chars follows."""
+    return pii.pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the weights of their sources say."""
+    return mixing.mix(docs, weights=(5, 2, 1), most=3.0)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 2048 tokens."""
+    return packing.pack_documents(docs, queries.WORD_BPE, end_id=0, capacity=2048)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", replace_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+#: Scores, near copies and tokens are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = queries.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = shared.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finweave.llm import media, mixing, near, packing, pii, secrets, tokens, toxicity
+from finweave.llm import ann, chat, media, mixing, near, packing, pii, secrets, tokens, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -31,6 +31,14 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"), least=0.8)
 
 
+def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op6_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotations(table(spark, sf_dir, "conversations"))
+
+
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced")
 
@@ -56,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_transport_streams": op2_transport_streams,
     "op3_near_duplicates": op3_near_duplicates,
+    "op5_nearest_vectors": op5_nearest_vectors,
+    "op6_perspectives": op6_perspectives,
     "op7_pseudonyms": op7_pseudonyms,
     "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
@@ -64,4 +74,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.SQL,
+    "op6_perspectives": chat.SQL,
 }
