@@ -36,9 +36,18 @@ class Series:
 
     def __init__(self, keys: Sequence[str] = ("ticker",), order: Sequence[str] = ("date",)):
         self.keys, self.order = list(keys), list(order)
-        self.w = Window.partitionBy(*keys).orderBy(*order)
-        self.all = Window.partitionBy(*keys)
-        self.so_far = self.w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    @property
+    def w(self):
+        return Window.partitionBy(*self.keys).orderBy(*self.order)
+
+    @property
+    def all(self):
+        return Window.partitionBy(*self.keys)
+
+    @property
+    def so_far(self):
+        return self.w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def lag(self, x: Column | str, n: int = 1) -> Column:
         return F.lag(col(x), n).over(self.w)

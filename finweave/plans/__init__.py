@@ -1,9 +1,9 @@
 """Registered queries, each with an independent DuckDB statement where SQL can express it."""
 
-from finweave.plans import fundamentals
+from finweave.plans import fundamentals, market, risk
 from finweave.plans.registry import ORACLES, QUERIES
 
-__all__ = ["fundamentals", "oracles", "queries"]
+__all__ = ["fundamentals", "market", "oracles", "queries", "risk"]
 
 
 def queries() -> dict:
