@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from finweave.llm.shared import materialise
+from finweave.llm.shared import bounded, materialise
 
 #: Tables, projections of a table, width of a cell (vectors have length 1) and
 #: buckets visited in a table. Vectors spread evenly over the sphere, whose
@@ -179,7 +179,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, seed: int = 11) ->
     candidates. Repeated rows of a vec_id count as one candidate. Ties go to
     the smaller vec_id; an empty table gives no rows.
     """
-    good = vectors.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+    good = bounded(vectors).filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     rows = good.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
     asked = good.filter(is_query).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from finweave.llm.shared import bounded, working
 from finweave.llm.tokens import steps
 
 # Fixed values of the format (ISO/IEC 13818-1).
@@ -172,12 +173,13 @@ def _added(df: DataFrame, source: str, name: str, kind: str, of) -> DataFrame:
     arrow = to_arrow_type(field.dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("media")
         for batch in batches:
             for part in steps(batch, source):
                 cols = {n: c for n, c in zip(part.schema.names, part.columns, strict=True) if n != name}
                 yield pa.RecordBatch.from_arrays([*cols.values(), pa.array([of(x) for x in part[source].to_pylist()], arrow)], names=[*cols, name])
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, source: str = "payload", name: str = "media") -> DataFrame:

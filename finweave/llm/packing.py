@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finweave.llm.shared import materialise, prefix_sum
+from finweave.llm.shared import bounded, materialise, prefix_sum
 from finweave.llm.tokens import encoded
 
 #: Buckets that split rows of equal length; bounds what one window holds.
@@ -37,7 +37,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
                 }
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
 
 
 def sweep(counts: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

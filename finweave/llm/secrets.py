@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from finweave.llm.shared import bounded, working
 from finweave.llm.tokens import steps
 
 # The base patterns and the least length of what they find.
@@ -126,6 +127,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("secrets")
         for batch in batches:
             for part in steps(batch, "text"):
                 text = pc.fill_null(part["text"], "")
@@ -144,4 +146,4 @@ def find_secrets(docs: DataFrame) -> DataFrame:
                     found[i] = [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in all_]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array(c, pa.int64()) for c in counts), pa.array(sha), pa.array(spans), pa.array(found, kind)], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "spans_found"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, spans_found array<struct<kind:string,start:long,end:long>>")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, spans_found array<struct<kind:string,start:long,end:long>>")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,15 +80,41 @@ def prefix_sum(df: DataFrame, group: Sequence[str], levels: Sequence[str], order
     return join_same(rows, base, finest).withColumn(out, F.col("__base") + F.col("__in")).drop("__base", "__in")
 
 
-def text_slices(texts, limit: int = 8_000_000):
-    """Consecutive (from, to) row ranges of at most ``limit`` characters of
-    text, one row at least: what one vectorised step works on."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > at and size + n > limit:
-            yield at, i
-            at, size = i, 0
-        size += n
-    if at < len(texts):
-        yield at, len(texts)
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df`` after its session's Arrow batches got a size in bytes, unless they
+    have one: with the default of 10,000 rows, long texts make huge batches."""
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH, str(2**31 - 1)).rstrip("mMbB") or 0) >= 2**31 - 1:
+        conf.set(BATCH, "8m")
+    return df
+
+
+_caches: dict[str, Callable[[], None]] = {}
+_user = ""
+
+
+def keeps(name: str, clear: Callable[[], None]) -> None:
+    """Registers a cache that a Python worker keeps over tasks."""
+    _caches[name] = clear
+
+
+def working(name: str) -> None:
+    """Called by a task at its start: workers outlive stages, so what another
+    kind of task has kept is dropped and given back to the system."""
+    global _user
+    if _user != name:
+        for other, clear in _caches.items():
+            if other != name:
+                clear()
+        trim()
+        _user = name
+
+
+def trim() -> None:
+    """Gives unused memory of Arrow's pool and of malloc back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -16,12 +16,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finweave.llm.shared import fresh_path, materialise, prefix_sum
+from finweave.llm.shared import bounded, fresh_path, keeps, materialise, prefix_sum, trim, working
 
 #: Cached words of one Python worker; the cache starts anew beyond it.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 600_000
 #: Characters of text that one vectorised step takes.
-STEP_CHARS = 8_000_000
+STEP_CHARS = 4_000_000
 
 
 class Coder:
@@ -106,8 +106,12 @@ class Coder:
 _coders: dict[str, Coder] = {}
 
 
+keeps("tokens", _coders.clear)
+
+
 def coder(path: str) -> Coder:
     """One coder for a Python worker and file."""
+    working("tokens")
     if path not in _coders:
         _coders[path] = Coder(path)
     return _coders[path]
@@ -121,6 +125,7 @@ def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_CHARS) -> Iterat
         to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, "right")))
         yield batch.slice(at, to - at)
         at = to
+    trim()
 
 
 def encoded(batches: Iterable[pa.RecordBatch], path: str, end_id: int, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -275,7 +280,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
         yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "path": [f"{folder}/{path.rpartition('/')[2]}"], "n_docs": [len(out.docs)], "n_ids": [out.starts[-1]]})
 
     dealt = docs.select(F.col("doc_id").cast("long"), "text").withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
-    manifest = materialise(dealt.mapInArrow(write, "shard long, path string, n_docs long, n_ids long"), "token-manifest")
+    manifest = materialise(bounded(dealt).mapInArrow(write, "shard long, path string, n_docs long, n_ids long"), "token-manifest")
     manifest = manifest.withColumn("hundreds", F.floor(F.col("shard") / 100))
     return prefix_sum(manifest, [], ["hundreds", "shard"], [F.col("path")], "n_ids", "start").drop("hundreds")
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from finweave.llm.shared import bounded, working
 from finweave.llm.tokens import steps
 
 # Letters that a sign may stand for.
@@ -65,9 +66,10 @@ def character_counts(docs: DataFrame) -> np.ndarray:
     together: SYMBOLS ** 3 numbers, added up before they come to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("toxicity")
         sums = np.zeros(SYMBOLS**3, np.int64)
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", 2_000_000):
                 s = symbols(" " + " ".join(pc.fill_null(pc.utf8_lower(part["text"]), "").to_pylist()) + " ")
                 s = s[np.append(True, (s[1:] != 0) | (s[:-1] != 0))].astype(np.int32)
                 sums += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=SYMBOLS**3)
@@ -75,7 +77,7 @@ def character_counts(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], names=["gram", "n"])
 
     out = np.zeros(SYMBOLS**3)
-    for gram, n in docs.select("text").mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
+    for gram, n in bounded(docs).select("text").mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
         out[gram] = n
     return out
 
@@ -99,7 +101,7 @@ class Model:
         a character or break the word, costs are the channel's plus the
         language model's."""
         if token not in self.kept:
-            if len(self.kept) > 200_000:
+            if len(self.kept) > 50_000:
                 self.kept.clear()
             self.kept[token] = self._decode(token)
         return self.kept[token]
@@ -221,6 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, top: int = 3_000
     rows = labelled(docs, labels, most)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("toxicity")
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, y in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
@@ -287,6 +290,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("toxicity")
         m = sent.value
         for batch in batches:
             for part in steps(batch, "text"):
@@ -301,7 +305,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
                 names = [n for n in part.schema.names if n != name]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(1 / (1 + np.exp(-np.clip(np.round(z, 9), -40, 40))))], names=[*names, name])
 
-    return docs.mapInArrow(run, kind)
+    return bounded(docs).mapInArrow(run, kind)
 
 
 def scored(docs: DataFrame, labels: DataFrame, least: float = 0.7, most: int = 12_000) -> DataFrame:
