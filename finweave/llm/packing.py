@@ -16,7 +16,7 @@ from finweave.llm.tokens import encoded
 
 #: Buckets that split rows of equal length; bounds what one window holds.
 BUCKETS = 256
-PLACE = "length int, first long, last long, bin long, at int, each int"
+PLACE = "__length int, __first long, __last long, __bin long, __at int, __each int"
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
@@ -112,10 +112,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, key: tuple[str, ...] = ("doc_i
     cols = pieces.columns
     rows = pieces.withColumn("__bucket", F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")).withColumn("__one", F.lit(1).cast("long"))
     ranked = prefix_sum(rows, ["length"], ["__bucket"], [F.col(k) for k in key], "__one", "__rank")
-    p = F.broadcast(places.withColumnRenamed("length", "__length"))
-    met = ranked.join(p, (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("first")) & (F.col("__rank") < F.col("last")))
-    nth = F.col("__rank") - F.col("first")
-    return met.select(*cols, (F.col("bin") + F.floor(nth / F.col("each"))).cast("long").alias("sequence_id"), (F.col("at") + F.pmod(nth, F.col("each").cast("long")) * F.col("length")).cast("long").alias("offset"))
+    c = F.col
+    met = ranked.join(F.broadcast(places), (c("length") == c("__length")) & (c("__rank") >= c("__first")) & (c("__rank") < c("__last")))
+    nth = c("__rank") - c("__first")
+    return met.select(*cols, (c("__bin") + F.floor(nth / c("__each"))).cast("long").alias("sequence_id"), (c("__at") + F.pmod(nth, c("__each").cast("long")) * c("length")).cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
