@@ -27,7 +27,7 @@ def momentum(bars: DataFrame, lookback: int = 20, hold: int = 5) -> DataFrame:
     b = bars.withColumn("ret", S.change("close"))
     b = b.withColumn("momentum", S.mean("ret", lookback))
     q = b.groupBy("ticker").agg(F.percentile("momentum", F.array(F.lit(0.3), F.lit(0.7))).alias("q"))
-    b = b.join(F.broadcast(q), "ticker")
+    b = b.join(q, "ticker")
     signal = F.when(F.col("momentum") > F.col("q")[1], 1).when(F.col("momentum") < F.col("q")[0], -1).otherwise(0)
     b = b.withColumn("signal", signal).drop("q")
     held = F.last(F.nullif(F.col("signal"), F.lit(0)), ignorenulls=True).over(S.w.rowsBetween(-(hold - 1), 0))
@@ -59,7 +59,7 @@ def summary(ran: DataFrame, capital: float = 100_000.0, risk_free: float = 0.02,
         F.percentile(r, F.lit(0.05)).alias("q05"), F.sum(t.cast("long")).alias("trades"), F.sum((t & (r > 0)).cast("long")).alias("wins"), F.sum(F.when(t & (r > 0), r)).alias("won"), (-F.sum(F.when(t & (r < 0), r))).alias("lost"),
         F.avg((F.col("position") != 0).cast("double")).alias("time_in_market"), F.sum(F.col("trade") * cost).alias("total_cost"),
     )
-    j = ran.filter("net is not null").join(F.broadcast(base.select("ticker", "q05")), "ticker").filter(F.col("net") <= F.col("q05"))
+    j = ran.filter("net is not null").join(base.select("ticker", "q05"), "ticker").filter(F.col("net") <= F.col("q05"))
     tail = j.groupBy("ticker").agg(F.avg("net").alias("tail"))
     c = F.col
     rf, root = risk_free / YEAR, math.sqrt(YEAR)

@@ -103,7 +103,7 @@ def outliers(metrics: DataFrame) -> DataFrame:
     """Values beyond 1.5 interquartile ranges, per metric with more than three."""
     q = metrics.filter("value is not null").groupBy("metric_name").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count("value").alias("n")).filter("n > 3")
     q = q.select("metric_name", "n", (F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("lo"), (F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("hi"))
-    j = metrics.join(F.broadcast(q), "metric_name").filter((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")))
+    j = metrics.join(q, "metric_name").filter((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi")))
     return j.groupBy("metric_name", "n").agg(F.count(F.lit(1)).alias("outliers"))
 
 

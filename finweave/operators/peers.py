@@ -44,10 +44,10 @@ def by_fundamentals(target: dict[str, float], metrics: DataFrame, weights: dict[
 def comparison(ratios: DataFrame, companies: DataFrame, ticker: str, fiscal_year: int, names: list[str], most: int = 10) -> DataFrame:
     """A company and up to ``most`` others of its sector with the percent rank
     of each ratio. companies: ticker, sector."""
-    own = F.broadcast(companies.filter(F.col("ticker") == ticker).select(F.col("sector").alias("own_sector")).limit(1))
+    own = companies.filter(F.col("ticker") == ticker).select(F.col("sector").alias("own_sector")).limit(1)
     others = companies.join(own, F.col("sector") == F.col("own_sector")).filter(F.col("ticker") != ticker).select("ticker").distinct().orderBy("ticker").limit(most)
     group = others.union(companies.filter(F.col("ticker") == ticker).select("ticker").distinct())
-    rows = ratios.filter(F.col("fiscal_year") == fiscal_year).join(F.broadcast(group), "ticker", "left_semi")
+    rows = ratios.filter(F.col("fiscal_year") == fiscal_year).join(group, "ticker", "left_semi")
     return rows.select("ticker", "fiscal_year", *names, *[percent_rank_avg(n).alias(f"{n}_percentile") for n in names])
 
 

@@ -27,7 +27,7 @@ def bm25(docs: DataFrame, query: str) -> DataFrame:
     mean = idf.agg(F.avg("idf").alias("mean"))
     weight = idf.filter(F.col("term").isin(terms)).crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("idf") < 0, F.col("mean") * EPSILON).otherwise(F.col("idf")).alias("idf"))
     hits = d.select("id", F.size("words").alias("dl"), F.explode(F.filter("words", lambda w: w.isin(terms))).alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    s = hits.join(F.broadcast(weight), "term")
+    s = hits.join(weight, "term")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return s.groupBy("id").agg(F.sum(part).alias("score"))
 

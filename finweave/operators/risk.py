@@ -55,7 +55,7 @@ def metrics(returns: DataFrame, confidences: Sequence[float] = (0.95, 0.99), ris
         cols[f"cornish_fisher_var_{k}"] = -(F.col("mean") + F.col("sd0") * zc)
         cols[f"historical_var_{k}"] = -F.col("q")[1 if k == 95 else 0]
     base = base.withColumns(cols)
-    j = returns.filter("ret is not null").join(F.broadcast(base), "ticker")
+    j = returns.filter("ret is not null").join(base, "ticker")
     keep = [c for c in base.columns if c not in ("ticker", "q")]
     one = [F.first(c).alias(c) for c in keep] + [F.first("q").alias("q")]
     neg, pos = F.when(r < 0, r), F.when(r > 0, r)

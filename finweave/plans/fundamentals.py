@@ -254,7 +254,7 @@ _NAMES = ["current_ratio", "gross_margin", "roe", "asset_turnover"]
 )
 def peer_comparison(spark, sf_dir):
     n, r = D.read(spark, sf_dir, "nation"), D.read(spark, sf_dir, "region")
-    who = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("ticker"), F.col("r_name").alias("sector"))
+    who = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("ticker"), F.col("r_name").alias("sector"))
     return rounded(peers.comparison(ratios.stored(D.statements(spark, sf_dir)), who, "NATION_6", 1997, _NAMES))
 
 

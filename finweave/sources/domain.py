@@ -58,7 +58,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("fiscal_year"))
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("ticker"))
-    who = o.join(c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "fiscal_year", "ticker")
+    who = o.join(c.join(n, F.col("c_nationkey") == F.col("n_nationkey")), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "fiscal_year", "ticker")
     net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     units = lambda x, k: (F.sum(F.round(x * k).cast("long")) / F.lit(float(k)))  # noqa: E731  whole units add up exactly, in any order
     sums = li.join(who, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("ticker", "fiscal_year").agg(
@@ -79,7 +79,7 @@ def metric_rows(stmt: DataFrame, metrics: tuple[str, ...] = METRICS, name: str =
 
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n, r = (read(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
-    where = F.broadcast(n.join(r, F.col("n_regionkey") == F.col("r_regionkey")))
+    where = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     return s.join(where, F.col("s_nationkey") == F.col("n_nationkey")).select(
         F.lpad(F.col("s_suppkey").cast("string"), 10, "0").alias("cik"),
         F.col("s_name").alias("ticker"),
