@@ -38,8 +38,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def same(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
+def clean(spark: SparkSession) -> bool:
+    """Deletes what this application's operators have written to the shared
+    folder. For after the last use of their results, which read from there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/finweave/{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -502,5 +502,14 @@ def test_prefix_sum(spark):
             at += v
 
 
+def test_written_frames_can_be_cleaned(spark):
+    import os
+
+    df = shared.materialise(spark.range(3).toDF("x"), "t")
+    assert df.count() == 3
+    place = df.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(place)
+
+
 def test_base_text_is_long_enough():
     assert len(BASE.split()) > 25
