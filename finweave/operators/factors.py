@@ -277,3 +277,81 @@ def allocation(weights: dict[str, float], prices: dict[str, float], value: float
         n[a] += 1
         cash -= prices[a]
     return n, cash
+
+
+def efficient_for(mu: np.ndarray, s: np.ndarray, value: float, by: str = "return") -> np.ndarray:
+    """The frontier's weights with a stated return or risk, by bisection on the
+    taste for risk; its ends where the value is beyond them."""
+    lo, hi = 1e-2, 1e4
+    for _ in range(40):
+        mid = math.sqrt(lo * hi)
+        w = efficient(mu, s, mid)
+        got = float(w @ mu) if by == "return" else math.sqrt(w @ s @ w)
+        lo, hi = (mid, hi) if got > value else (lo, mid)
+    return efficient(mu, s, math.sqrt(lo * hi))
+
+
+def common_factors(corr: np.ndarray, k: int, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Loadings and unique variances of k common factors: principal axes of the
+    correlation matrix with communalities on its diagonal, repeated, then varimax."""
+    inv = np.linalg.pinv(corr)
+    common = np.clip(1 - 1 / np.diag(inv), 0.01, 1)
+    load = np.zeros((len(corr), k))
+    for _ in range(rounds):
+        r = corr.copy()
+        np.fill_diagonal(r, common)
+        val, vec = np.linalg.eigh(r)
+        at = np.argsort(-val)[:k]
+        load = vec[:, at] * np.sqrt(np.maximum(val[at], 0))
+        new = np.clip((load**2).sum(1), 0, 1)
+        if np.abs(new - common).max() < 1e-8:
+            break
+        common = new
+    load = varimax(load) if k > 1 else load
+    return load, 1 - (load**2).sum(1)
+
+
+def independent(x: np.ndarray, k: int, rounds: int = 300, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Independent components of days x assets: whitened, then the fixed point
+    of the tanh contrast, all components together. Returns sources and mixing."""
+    x = x - x.mean(0)
+    u, d, v = np.linalg.svd(x, full_matrices=False)
+    z = u[:, :k] * math.sqrt(len(x))
+    w = np.linalg.qr(np.random.default_rng(seed).normal(size=(k, k)))[0]
+    for _ in range(rounds):
+        g = np.tanh(z @ w.T)
+        a, _, b = np.linalg.svd(g.T @ z / len(z) - np.diag((1 - g**2).mean(0)) @ w)
+        new = a @ b
+        done = np.abs(np.abs((new * w).sum(1)) - 1).max() < 1e-9
+        w = new
+        if done:
+            break
+    return z @ w.T, (w @ (np.diag(d[:k]) @ v[:k]) / math.sqrt(len(x))).T
+
+
+def risk_decomposition(target: DataFrame, factors_: DataFrame) -> DataFrame:
+    """Share of a series' variance (date, ret) by factor (date, factor, value):
+    squared slope of a joint regression times the factor's variance, and the
+    rest. Moments are made in Spark; k + 1 of them squared come to the driver."""
+    both = target.select("date", F.lit("").alias("factor"), F.col("ret").alias("value")).unionByName(factors_.select("date", "factor", "value"))
+    m = moments(both.withColumnsRenamed({"factor": "asset", "value": "ret"}))
+    y, names = m.assets.index(""), [i for i, a in enumerate(m.assets) if a]
+    beta = np.linalg.lstsq(m.cov[np.ix_(names, names)], m.cov[names, y], rcond=None)[0]
+    total = m.cov[y, y]
+    share = beta**2 * np.diag(m.cov)[names] / total if total else np.zeros(len(names))
+    rows = [(m.assets[i], float(b), float(s)) for i, b, s in zip(names, beta, share, strict=True)]
+    return target.sparkSession.createDataFrame([*rows, ("residual", None, float(1 - share.sum()))], "factor string, beta double, variance_share double")
+
+
+def panel_signals(score_rows: DataFrame, returns: DataFrame, load: DataFrame, lookback: int = 20) -> DataFrame:
+    """Signals across assets: the last rolling mean of the mean residual, and
+    the last spread of factor scores where it is beyond 1.5 times its mean."""
+    s = returns.filter("ret is not null").groupBy("asset").agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("sd"))
+    z = returns.filter("ret is not null").join(s, "asset").select("date", "asset", div(F.col("ret") - F.col("m"), "sd").alias("z"))
+    fit = score_rows.join(load.select("asset", "factor", "loading"), "factor").groupBy("date", "asset").agg(F.sum(F.col("score") * F.col("loading")).alias("fit"))
+    daily = z.join(fit, ["date", "asset"]).groupBy("date").agg(F.avg(F.col("z") - F.col("fit")).alias("residual"))
+    w = Window.orderBy("date").rowsBetween(-(lookback - 1), 0)
+    rolled = daily.withColumn("value", F.when(F.count("residual").over(w) == lookback, F.avg("residual").over(w)))
+    momentum = rolled.agg(F.max_by("value", "date").alias("value")).select(F.lit("residual_momentum").alias("signal_name"), "value", F.lit(True).alias("emitted"))
+    spread = score_rows.groupBy("date").agg(F.stddev_samp("score").alias("d")).agg(F.max_by("d", "date").alias("value"), F.avg("d").alias("m"))
+    return momentum.unionByName(spread.select(F.lit("cross_sectional").alias("signal_name"), "value", (F.col("value") > 1.5 * F.col("m")).alias("emitted")))

@@ -118,3 +118,9 @@ def peer_metrics(rows: DataFrame, ciks: Sequence[str], metrics: Sequence[str], y
     """The last filed value of each company and metric in a year."""
     by = Window.partitionBy("cik", "metric").orderBy(F.col("filed").desc_nulls_last(), F.col("value"))
     return rows.filter(F.col("cik").isin(*ciks) & F.col("metric").isin(*metrics) & (F.col("fiscal_year") == year)).withColumn("n", F.row_number().over(by)).filter("n = 1").select("cik", "metric", "value", "fiscal_year")
+
+
+def header(raw: DataFrame, column: str = "json") -> DataFrame:
+    """Company and number of tags that a facts document holds."""
+    f = raw.select(F.from_json(column, FACTS).alias("f")).filter("f.cik is not null")
+    return f.select("f.cik", F.col("f.entityName").alias("entity_name"), F.size(F.col("f.facts")["us-gaap"]).alias("tags"))

@@ -96,7 +96,17 @@ def ar_fit(y: np.ndarray, steps: int, p: int = 2) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([y[:p], x @ beta]), np.array(seen[len(y) :])
 
 
-MODELS = {"trend": trend_fit, "autoregression": ar_fit, "holt_winters": holt_winters}
+def seasonal_fit(y: np.ndarray, steps: int, period: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Trend plus one pair of Fourier terms of the period, by least squares."""
+    t = np.arange(len(y) + steps)
+    x = np.column_stack([np.ones(len(t)), t, np.sin(2 * np.pi * t / period), np.cos(2 * np.pi * t / period)])
+    if len(y) <= x.shape[1]:
+        return trend_fit(y, steps)
+    line = x @ np.linalg.lstsq(x[: len(y)], y, rcond=None)[0]
+    return line[: len(y)], line[len(y) :]
+
+
+MODELS = {"trend": trend_fit, "seasonal": seasonal_fit, "autoregression": ar_fit, "holt_winters": holt_winters}
 
 
 def forecasts(series: DataFrame, steps: int = 4, key: str = "ticker", order: str = "fiscal_year", value: str = "value") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -131,6 +132,56 @@ def tables(docs: DataFrame) -> DataFrame:
     return docs.select("document_id", "text").mapInPandas(run, f"document_id {kind}, table int, row int, cells array<string>")
 
 
+class _Tables(HTMLParser):
+    """Cells of every table row of a page."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[list[list[str]]] = []
+        self.open: list[list[list[str]]] = []
+        self.cell: list[str] | None = None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "table":
+            self.open.append([])
+        elif tag == "tr" and self.open:
+            self.open[-1].append([])
+        elif tag in ("td", "th") and self.open:
+            if not self.open[-1]:
+                self.open[-1].append([])
+            self.cell = []
+
+    def handle_data(self, data):
+        if self.cell is not None:
+            self.cell.append(data)
+
+    def handle_endtag(self, tag):
+        if tag in ("td", "th") and self.cell is not None and self.open:
+            self.open[-1][-1].append(" ".join("".join(self.cell).split()))
+            self.cell = None
+        elif tag == "table" and self.open:
+            self.found.append([r for r in self.open.pop() if r])
+
+
+def html_tables(html: str) -> list[list[list[str]]]:
+    p = _Tables()
+    p.feed(html)
+    p.close()
+    return [t for t in p.found if t]
+
+
+def page_tables(pages: DataFrame) -> DataFrame:
+    """document_id, table, row and cells of the tables of pages (document_id, text: HTML)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(d, k, i, r) for d, t in zip(b["document_id"], b["text"], strict=True) for k, tab in enumerate(html_tables(t or "")) for i, r in enumerate(tab)]
+            yield pd.DataFrame(rows, columns=["document_id", "table", "row", "cells"])
+
+    kind = pages.schema["document_id"].dataType.simpleString()
+    return pages.select("document_id", "text").mapInPandas(run, f"document_id {kind}, table int, row int, cells array<string>")
+
+
 def numeric(cell: Column) -> Column:
     """A cell as a number: $ , % dropped, brackets mean minus; null if it is none."""
     return F.replace(F.translate(cell, "$,%) ", ""), F.lit("("), F.lit("-")).try_cast("double")

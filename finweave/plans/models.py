@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from finweave.functions import constants as K
 from finweave.functions.num import norm_ppf, rounded
-from finweave.operators import anomaly, factors, forecast, insights, risk
+from finweave.operators import anomaly, backtest, factors, forecast, insights, peers, ratios, reports, risk
 from finweave.operators.indicators import S as SERIES
 from finweave.plans.market import full
 from finweave.plans.registry import query
@@ -236,3 +236,44 @@ def tumbling_events(spark, sf_dir):
 def session_events(spark, sf_dir):
     e = D.read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return rounded(windows.sessions(e).drop("end").withColumn("start", F.col("start").cast("timestamp_ntz")), 4)
+
+
+@query()
+def panel_signals(spark, sf_dir):
+    p = _panel(spark, sf_dir)
+    load = factors.loading_rows(spark, factors.moments(p), 3)
+    return factors.panel_signals(factors.scores(p, load), p, load)
+
+
+@query(
+    _CALM
+    + """, f AS (SELECT date, avg(ret) AS f FROM rets WHERE ticker <> '1-URGENT' GROUP BY 1), j AS (SELECT r.ret, f.f FROM rets r JOIN f USING (date) WHERE ticker = '1-URGENT' AND ret IS NOT NULL AND f IS NOT NULL),
+    v AS (SELECT var_samp(f) AS vf FROM f), y AS (SELECT var_samp(ret) AS vy FROM rets WHERE ticker = '1-URGENT'), b AS (SELECT covar_samp(ret, f) / (SELECT vf FROM v) AS b FROM j)
+    SELECT 'market' AS factor, round(b, 6) AS beta, round(b * b * vf / vy, 6) AS variance_share FROM b, v, y UNION ALL SELECT 'residual', NULL, round(1 - b * b * vf / vy, 6) FROM b, v, y"""
+)
+def factor_risk(spark, sf_dir):
+    r = calm_returns(spark, sf_dir)
+    market = r.filter("ticker <> '1-URGENT'").groupBy("date").agg(F.avg("ret").alias("value")).withColumn("factor", F.lit("market"))
+    return rounded(factors.risk_decomposition(r.filter("ticker = '1-URGENT'").select("date", "ret"), market))
+
+
+@query()
+def risk_report(spark, sf_dir):
+    return reports.figures(risk.metrics(calm_returns(spark, sf_dir)), reports.RISK_ROWS)
+
+
+@query()
+def performance_report(spark, sf_dir):
+    return reports.figures(backtest.summary(backtest.run(backtest.momentum(calm_bars(spark, sf_dir)))), reports.BACKTEST_ROWS)
+
+
+@query()
+def benchmark_report(spark, sf_dir):
+    names = ["gross_margin", "roe"]
+    rows = ratios.stored(D.statements(spark, sf_dir).filter("fiscal_year = 1997")).unpivot("ticker", names, "metric_name", "value")
+    return reports.benchmark(peers.benchmark(rows, rows))
+
+
+@query("SELECT c_custkey, 'USD ' || CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || format('{:,.2f}', abs(c_acctbal)) AS balance FROM customer")
+def currency_text(spark, sf_dir):
+    return D.read(spark, sf_dir, "customer").select("c_custkey", reports.currency(F.col("c_acctbal")).alias("balance"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from finweave.functions import num
 from finweave.functions import text as X
-from finweave.operators import anomaly, backtest, factors, facts, forecast, indicators, insights, macro, peers, ratios, retrieval, risk, text, variance
+from finweave.operators import anomaly, backtest, factors, facts, forecast, indicators, insights, macro, peers, ratios, reports, retrieval, risk, text, variance
 from finweave.sources import readers, sinks
 from finweave.streaming import windows
 
@@ -252,6 +252,41 @@ def test_factor_statistics():
     assert np.allclose(r @ r.T, load @ load.T)
 
 
+def test_common_factors_and_components():
+    load = np.array([[0.9, 0], [0.8, 0], [0.7, 0], [0, 0.9], [0, 0.8], [0, 0.6]])
+    corr = load @ load.T
+    np.fill_diagonal(corr, 1)
+    got, unique = factors.common_factors(corr, 2)
+    assert np.allclose(got @ got.T + np.diag(unique), corr, atol=1e-3)
+    g = np.random.default_rng(1)
+    src = g.laplace(size=(5000, 2))
+    x = src @ np.array([[1.0, 0.6], [-0.4, 1.0]]).T
+    est, mix = factors.independent(x, 2)
+    c = np.abs(np.corrcoef(np.column_stack([est, src]).T)[:2, 2:])
+    assert (c.max(1) > 0.97).all() and np.allclose(est @ mix.T, x - x.mean(0), atol=1e-6)
+
+
+def test_efficient_for_a_stated_return():
+    mu, s = np.array([0.1, 0.2, 0.05]), spd(3)
+    least = float(factors.min_volatility(s) @ mu)
+    value = (least + 0.2) / 2  # the frontier goes from the least risk's return to the greatest
+    w = factors.efficient_for(mu, s, value)
+    assert abs(w @ mu - value) < 5e-3 and abs(w.sum() - 1) < 1e-6
+    assert abs(factors.efficient_for(mu, s, least - 0.1) @ mu - least) < 5e-3
+
+
+def test_page_tables(spark):
+    html = "<p>x</p><table><tr><th>A</th><th> B&amp;C </th></tr><tr><td>1</td><td><b>2</b></td></tr></table><table></table>"
+    assert text.html_tables(html) == [[["A", "B&C"], ["1", "2"]]]
+    d = spark.createDataFrame([(1, html), (2, None)], "document_id int, text string")
+    assert [tuple(r) for r in text.page_tables(d).orderBy("row").collect()] == [(1, 0, 0, ["A", "B&C"]), (1, 0, 1, ["1", "2"])]
+
+
+def test_reports_format_nothing_as_a_dash(spark):
+    d = spark.createDataFrame([(1234.5,), (None,), (float("nan"),)], "v double")
+    assert [r[0] for r in d.select(reports.currency(F.col("v"))).collect()] == ["USD 1,234.50", "-", "-"]
+
+
 def test_allocation_spends_what_it_can():
     n, cash = factors.allocation({"a": 0.6, "b": 0.4}, {"a": 30.0, "b": 7.0}, 1000)
     assert n["a"] == 20 and cash >= 0 and 30 * n["a"] + 7 * n["b"] + cash == 1000
