@@ -128,7 +128,7 @@ def momentum_backtest(spark, sf_dir):
     _REVERSION
     + _RUN
     + """, b AS (SELECT ticker, count(*) AS n, exp(sum(ln(1 + net))) AS growth, avg(net) AS mean, stddev_samp(net) AS sd, avg(net * net) FILTER (net < 0) AS neg2, -min(drawdown) AS dd, quantile_cont(net, 0.05) AS q05, CAST(count(*) FILTER (trade > 0) AS BIGINT) AS trades,
-    count(*) FILTER (trade > 0 AND net > 0) AS wins, sum(net) FILTER (trade > 0 AND net > 0) AS won, -sum(net) FILTER (trade > 0 AND net < 0) AS lost, avg(CASE WHEN position <> 0 THEN 1.0 ELSE 0 END) AS time_in_market, sum(trade * 0.002) AS total_cost FROM ran WHERE net IS NOT NULL GROUP BY 1),
+    count(*) FILTER (trade > 0 AND net > 0) AS wins, sum(net) FILTER (trade > 0 AND net > 0) AS won, -sum(net) FILTER (trade > 0 AND net < 0) AS lost, avg(CASE WHEN position <> 0 THEN 1.0 ELSE 0 END) AS time_in_market, sum(trade * 0.002::DOUBLE) AS total_cost FROM ran WHERE net IS NOT NULL GROUP BY 1),
     t AS (SELECT ticker, avg(net) AS tail FROM ran JOIN b USING (ticker) WHERE net <= q05 GROUP BY 1)
     SELECT ticker, trades, round(growth - 1, 6) AS total_return, round(CASE WHEN growth > 0 THEN pow(growth, 252.0 / n) - 1 END, 6) AS annual_return, round(sd * sqrt(252), 6) AS volatility, round((mean - 0.02 / 252) / nullif(sd, 0) * sqrt(252), 6) AS sharpe_ratio,
     round((mean - 0.02 / 252) / nullif(sqrt(neg2), 0) * sqrt(252), 6) AS sortino_ratio, round(dd, 6) AS max_drawdown, round((pow(growth, 252.0 / n) - 1) / nullif(dd, 0), 6) AS calmar_ratio, round(-q05, 6) AS var_95, round(-tail, 6) AS cvar_95, round(wins / nullif(trades, 0), 6) AS win_rate,

@@ -99,7 +99,7 @@ def html_text(spark, sf_dir):
 
 @query(
     D.sql("stmt")
-    + r""" SELECT ticker, fiscal_year, CAST(printf('%.1f', Revenue / 1e6) AS DOUBLE) * 1e6 AS revenue, CAST(printf('%.2f', abs(NetIncome) / 1e9) AS DOUBLE) * 1e9 AS net_income, 12.5 AS gross_margin FROM stmt"""
+    + r""" SELECT ticker, fiscal_year, CAST(printf('%.1f', Revenue / 1e6) AS DOUBLE) * 1e6 AS revenue, CAST(printf('%.2f', abs(NetIncome) / 1e9) AS DOUBLE) * 1e9 AS net_income, 12.5::DOUBLE AS gross_margin FROM stmt"""
 )
 def told_figures(spark, sf_dir):
     s = D.statements(spark, sf_dir)
