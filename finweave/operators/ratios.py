@@ -159,9 +159,14 @@ def trends(stored_ratios: DataFrame) -> DataFrame:
 
 
 def yoy(metrics: DataFrame, keep_first_year: bool = False) -> DataFrame:
-    """Each metric beside the year before: absolute and percent change."""
-    a = metrics.select("ticker", "metric_name", "fiscal_year", F.col("value").alias("current_value"))
-    b = metrics.select("ticker", "metric_name", (F.col("fiscal_year") + 1).alias("fiscal_year"), F.col("value").alias("prior_value"))
-    j = a.join(b, ["ticker", "metric_name", "fiscal_year"], "left" if keep_first_year else "inner")
+    """Each metric beside the year before: absolute and percent change. One
+    row per ticker, metric and year is expected, so the year before is the row
+    before if its year says so: a window computes the metrics once, where a
+    self-join would twice."""
+    s = Series(("ticker", "metric_name"), ("fiscal_year",))
+    prior = F.when(s.lag("fiscal_year") == F.col("fiscal_year") - 1, s.lag("value"))
+    there = s.lag("fiscal_year") == F.col("fiscal_year") - 1
+    j = metrics.select("ticker", "fiscal_year", "metric_name", F.col("value").alias("current_value"), prior.alias("prior_value"), F.coalesce(there, F.lit(False)).alias("__there"))
+    j = j if keep_first_year else j.filter("__there")
     change = F.col("current_value") - F.col("prior_value")
     return j.select("ticker", "fiscal_year", "metric_name", "current_value", "prior_value", change.alias("absolute_change"), (div(change, "prior_value") * 100).alias("percent_change"))
