@@ -30,8 +30,12 @@ IDF_GAIN = 0.25
 LEVELS, STEP = 112, 32
 #: Entries of the table that the random numbers come from, by 16 hashed bits.
 ENTRIES = 1 << 16
-#: Buckets up to this size are compared within; larger ones by leaders.
+#: Buckets up to this size are compared within; larger ones by leaders, then in blocks.
 SMALL = 32
+#: Most nodes and characters (on average) of one side of a comparison of blocks.
+BLOCK, BLOCK_CHARS = 1024, 4_000_000
+#: Similarities nearer to the least one than this are computed again in double precision.
+MARGIN = 1e-3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -233,6 +237,127 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float)
     return bounded(two).select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
+def overlaps(left: list[tuple[np.ndarray, np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The sum of the lesser weights of every pair of (shingle, times, idf)
+    vectors. A shingle that occurs t times is t features that weigh what each
+    time adds, so the sum is one over common features: products of matrices for
+    features of many, single pairs for the others."""
+
+    def features(side):
+        runs, times = np.concatenate([r for r, _, _ in side]), np.concatenate([t for _, t, _ in side])
+        idf, of = np.concatenate([w for _, _, w in side]), np.repeat(np.arange(len(side)), [len(r) for r, _, _ in side])
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + 1
+        with np.errstate(over="ignore"):
+            name = (np.repeat(runs, times) ^ (nth.astype(np.uint64) * _MIX)) * _MIX
+        gain = np.where(nth > 1, np.log(nth / np.maximum(nth - 1, 1)), 1.0)
+        return name, np.repeat(of, times), np.repeat(idf, times) * gain
+
+    (a, of_a, w), (b, of_b, _) = features(left), features(right)
+    names, at = np.unique(a, return_inverse=True)
+    place = np.minimum(np.searchsorted(names, b), max(0, len(names) - 1))
+    there = names[place] == b if len(names) else np.zeros(len(b), bool)
+    place, of_b = place[there], of_b[there]
+    by_a, by_b = np.argsort(at, kind="stable"), np.argsort(place, kind="stable")
+    n_a, n_b = np.bincount(at, minlength=len(names)), np.bincount(place, minlength=len(names))
+    from_a, from_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+    out = np.zeros(len(left) * len(right))
+    many = n_a * n_b > 256
+    few = np.flatnonzero(~many & (n_b > 0))
+    # every pair of each feature of few: places of a repeated, those of b in turn
+    for part in np.array_split(few, max(1, int((n_a[few] * n_b[few]).sum()) // 4_000_000)):
+        n = n_a[part] * n_b[part]
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        wide = np.repeat(n_b[part], n)
+        x = by_a[np.repeat(from_a[part], n) + k // wide] if len(k) else np.zeros(0, int)
+        y = by_b[np.repeat(from_b[part], n) + k % wide] if len(k) else np.zeros(0, int)
+        out += np.bincount(of_a[x] * len(right) + of_b[y], w[x], len(out))
+    out = out.reshape(len(left), len(right))
+    rank = np.cumsum(many) - 1
+    step = max(1, 4_000_000 // max(len(left), len(right)))
+    x, y = np.flatnonzero(many[at]), np.flatnonzero(many[place])
+    for low in range(0, int(many.sum()), step):
+        i, j = x[(rank[at[x]] >= low) & (rank[at[x]] < low + step)], y[(rank[place[y]] >= low) & (rank[place[y]] < low + step)]
+        one, two = np.zeros((len(left), step), np.float32), np.zeros((len(right), step), np.float32)
+        one[of_a[i], rank[at[i]] - low] = w[i]
+        two[of_b[j], rank[place[j]] - low] = 1
+        out += one @ two.T
+    return out
+
+
+def alike(left: pa.Array, right: pa.Array | None, weights: Weights, least: float) -> np.ndarray:
+    """Which texts of two columns (or of one, beside themselves) reach the
+    similarity, as a matrix."""
+
+    def vectors(column: pa.Array):
+        runs, times, borders = shingles(*word_hashes(column))
+        idf = weights.idf[(runs >> np.uint64(44)).astype(np.int64)]
+        w = weights.of(runs, times)
+        return [(runs[i:j], times[i:j], idf[i:j]) for i, j in pairwise(borders)], [(runs[i:j], w[i:j]) for i, j in pairwise(borders)]
+
+    one, plain = vectors(left)
+    two, other = (one, plain) if right is None else vectors(right)
+    common = overlaps(one, two)
+    whole = np.array([w.sum(dtype=np.float64) for _, w in plain])[:, None] + np.array([w.sum(dtype=np.float64) for _, w in other])[None]
+    share = common / np.maximum(whole - common, 1e-9)
+    out = share >= least
+    for i, j in np.argwhere(np.abs(share - least) < MARGIN):
+        out[i, j] = weighted_jaccard(plain[i], other[j]) >= least
+    if right is None:
+        np.fill_diagonal(out, False)
+    return out
+
+
+def stars(found: np.ndarray, left: list, right: list) -> list[tuple]:
+    """Links from one node of each component of a matrix to its others."""
+    out = []
+    rows, cols = found.any(1), found.any(0)
+    for i in np.flatnonzero(rows):
+        front = np.array([i]) if rows[i] else np.zeros(0, int)
+        while len(front):
+            rows[front] = False
+            to = np.flatnonzero(found[front].any(0) & cols)
+            cols[to] = False
+            out += [(left[i], left[k]) for k in front if k != i] + [(left[i], right[k]) for k in to]
+            front = np.flatnonzero(found[:, to].any(1) & rows)
+    return out
+
+
+def compared(buckets: DataFrame, texts: DataFrame, weights: Weights, least: float) -> DataFrame:
+    """Links (a, b) that join what every pair of nodes of different parts
+    joins in buckets (v, key, part) of any size. The nodes outside of a
+    bucket's largest part are dealt to blocks, which meet each other and the
+    blocks of the largest part; a task holds two blocks."""
+    sent = buckets.sparkSession.sparkContext.broadcast(weights)
+    sized = buckets.join(texts.select("key", F.length("text").cast("long").alias("chars")), "key")
+    each = sized.groupBy("v", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
+    all_ = each.groupBy("v").agg(F.max(F.struct("n", "part", "chars")).alias("top"), F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    number = lambda n, chars: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(chars / BLOCK_CHARS)).cast("int")
+    plan = all_.select("v", F.col("top.part").alias("main"), number(F.col("top.n"), F.col("top.chars")).alias("mains"), number(F.col("n") - F.col("top.n"), F.col("chars") - F.col("top.chars")).alias("rests"))
+    dealt = buckets.join(plan, "v").withColumn("is_main", F.col("part") == F.col("main"))
+    dealt = dealt.withColumn("k", F.pmod(_hash("key", "v"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+    place = lambda main, i, j, first: F.struct(F.lit(main).alias("main"), i.alias("i"), j.alias("j"), F.lit(first).alias("first"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    k = F.col("k")
+    of_main = F.transform(upto(F.col("rests")), lambda i: place(True, i, k, False))
+    earlier = F.transform(F.sequence(F.lit(0), k), lambda j: place(False, k, j, True))
+    later = F.transform(F.filter(upto(F.col("rests")), lambda i: i > k), lambda i: place(False, i, k, False))
+    of_rest = F.concat(F.transform(upto(F.col("mains")), lambda j: place(True, k, j, True)), earlier, later)
+    placed = dealt.select("v", "key", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_rest)).alias("at")).select("v", "key", "at.*")
+
+    def run(table: pa.Table) -> pa.Table:
+        working("near")
+        first = table["first"].combine_chunks()
+        one, two = table.filter(first), table.filter(pc.invert(first))
+        links = []
+        if one.num_rows and (two.num_rows or not table["main"][0].as_py() and table["i"][0] == table["j"][0]):
+            right = two if two.num_rows else one
+            found = alike(one["text"].combine_chunks(), two["text"].combine_chunks() if two.num_rows else None, sent.value, least)
+            links = stars(found, one["key"].to_pylist(), right["key"].to_pylist())
+        return pa.Table.from_pydict({"a": pa.array([a for a, _ in links], pa.binary()), "b": pa.array([b for _, b in links], pa.binary())})
+
+    return bounded(placed.join(texts, "key")).groupBy("v", "main", "i", "j").applyInArrow(run, "a binary, b binary")
+
+
 def _hash(*cols) -> Column:
     return F.xxhash64(*cols)
 
@@ -247,7 +372,11 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     nearest their origin); then nodes of still different components meet each
     other where they share a bucket of up to SMALL nodes, or, in larger ones,
     a sub-bucket of two bands: each other if it is that small, else its leader.
-    So pairs grow with the documents, not with the square of a group.
+    What is then still apart in a large bucket is compared in blocks with all
+    nodes of other components there, so every pair that a band brings together
+    is verified or already linked. Joined rows grow with the documents; only
+    the comparisons inside of blocks grow with the square of a group that stays
+    apart.
 
     Null texts are empty texts; texts without words are alike only if equal.
     Texts of fewer than five words are one shingle. Null doc_ids take part and
@@ -290,7 +419,15 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     more = materialise(more.join(tried, ["a", "b"], "left_anti"), "pairs")
     found = materialise(verified(more, texts, weights, least), "links")
     if not found.isEmpty():
-        parts = components(links.union(found))
+        links = links.union(found)
+        parts = components(links)
+    apart = big.select("v", "key").join(parts, F.col("key") == F.col("node"), "left").select("v", "key", F.coalesce("label", "key").alias("part"))
+    mixed = apart.groupBy("v").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 != p1").select("v")
+    apart = materialise(apart.join(mixed, "v"), "apart")
+    if not apart.isEmpty():
+        found = materialise(compared(apart, texts, weights, least), "links")
+        if not found.isEmpty():
+            parts = components(links.union(found))
     named = nodes.select("key", "at").join(parts, F.col("key") == F.col("node"), "left").select("key", "at", F.coalesce("label", "key").alias("part"))
     least_id = named.groupBy("part").agg(F.min("at").alias("first"))
     named = named.join(least_id, "part").select("key", F.col("first.doc_id").alias("class_id"))

@@ -159,6 +159,36 @@ def test_large_group_of_copies_is_one_class(spark):
     assert near.deduplicated(d).count() == 1
 
 
+@pytest.mark.parametrize("block", [near.BLOCK, 100])
+def test_pairs_in_a_group_of_one_boilerplate(spark, monkeypatch, block):
+    monkeypatch.setattr(near, "BLOCK", block)
+    g = random.Random(21)
+    base = [f"w{g.randrange(900)}" for _ in range(160)]
+    texts = []
+    for i in range(450):  # about 0.67 alike to all others; each has a near copy
+        own = [f"x{g.randrange(10**9)}" for _ in range(34)]
+        texts.append(" ".join(base + own))
+        texts.append(" ".join(base + own[:20] + [f"y{g.randrange(10**9)}" for _ in range(14)]))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weights = near.document_frequencies(d)
+    want = brute_classes(texts, weights)
+    assert len(set(want)) == 450
+    got = dict(near.near_duplicates(d).collect())
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_overlaps_match_single_pairs():
+    g = random.Random(2)
+    texts = [" ".join(g.choice("ab") for _ in range(g.randint(0, 90))) for _ in range(40)] + ["", "a b c d e " * 30]
+    weights = near.Weights(np.random.default_rng(3).uniform(1, 1.25, near.COUNTERS).astype(np.float32))
+    vec = [near.shingles(*near.word_hashes(pa.array([t])))[:2] for t in texts]
+    pairs = [(r, weights.of(r, t)) for r, t in vec]
+    for least in (0.2, 0.5, 0.8):
+        want = [[i != j and near.weighted_jaccard(a, b) >= least for j, b in enumerate(pairs)] for i, a in enumerate(pairs)]
+        assert near.alike(pa.array(texts), None, weights, least).tolist() == want
+        assert near.alike(pa.array(texts[:7]), pa.array(texts[7:]), weights, least).tolist() == [row[7:] for row in want[:7]]
+
+
 def test_near_edges(spark):
     got = near.classes(frame(spark)).collect()
     assert len(got) == len(rows())
