@@ -26,24 +26,31 @@ HINTS = (r"[0-9a-f]{16}", r"AKIA[A-Z0-9]{14}", r"(?i)(passw|secret|token|api_?ke
 
 #: Characters of a class and the entropy (bits) that a window of it must reach.
 #: A class holds a candidate if all characters of the window are in it; the
-#: narrowest counts. Windows of 20 equally likely digits or hex digits seldom
-#: fall below these; prose in letters seldom reaches its own.
+#: narrowest counts. Each is a quantile of windows of equally likely characters:
+#: 95 % of them reach it for digits, lower case, upper case and mixed letters,
+#: 98 % for hex digits and for base64 (simulated, 40,000 windows each). A longer
+#: secret has more windows and is missed less.
 WINDOW = 20
+_LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CLASSES = (
-    ("digits", frozenset("0123456789"), 9.9),
+    ("digits", frozenset("0123456789"), 2.64),
     ("hex", frozenset("0123456789abcdefABCDEF"), 2.9),
-    ("letters", frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), 4.15),
-    ("base64", frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"), 3.6),
+    ("lower", frozenset(_LOWER), 3.38),
+    ("upper", frozenset(_UPPER), 3.38),
+    ("letters", frozenset(_LOWER + _UPPER), 3.68),
+    ("base64", frozenset(_LOWER + _UPPER + "0123456789+/_=-"), 3.6),
 )
-#: Candidates that are not secrets: UUIDs, dates, repeats, paths and dashed or underscored words.
+#: Candidates that are not secrets: UUIDs, dates, repeats, paths and dashed or
+#: underscored words. Words and numbers are bounded at the end as well, so a
+#: key after a label or a date is none of them.
 ALLOW = tuple(
     re.compile(p)
     for p in (
         r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-        r"\d{4}-\d\d-\d\d.*",
+        r"\d{4}-\d\d-\d\d(?:[T/_=+-]+(?:\d{1,8}|[A-Za-z]{1,15}))*Z?[/_=+-]*",
         r"(.{1,6})\1{2,}.{0,6}",
-        r"/?(?:[a-z0-9]{1,12}[/_=-])+[a-z]{0,16}",
-        r"(?:[A-Za-z]{1,15}[-_/+=]+)+[A-Za-z]*",
+        r"/?(?:[a-z0-9]{1,12}[/_=-])+[a-z]{0,15}",
+        r"(?:[A-Za-z]{1,15}[-_/+=]+)+[A-Za-z]{0,15}",
         r"[+/_=-]+",
     )
 )
