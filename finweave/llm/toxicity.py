@@ -36,7 +36,11 @@ SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$
 SPACED_HINT = r"(?:^|[^\pL\pN])[\pL\pN@$!|+][ .\-_*]{1,2}[\pL\pN@$!|+][ .\-_*]{1,2}[\pL\pN@$!|+](?:[^\pL\pN]|$)"
 #: Marks around a word; at its end those that may stand for letters as well.
 MARKS = "\"'`.,;:?)[]{}>*%&-_~^/\\="
-TRIPLE = re.compile(r"([^\W\d_])\1\1")
+#: Signs that are letters, not punctuation, at the end of a word as well.
+ENDS = frozenset("$@|+")
+DOUBLE = re.compile(r"([^\W\d_])\1")
+#: Numbers with at most a sign on each side.
+AMOUNT = re.compile(r"[$€£¢#+<(|]?\d[\d.,:/%-]*[$€£¢+!(]?")
 WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6, 7)
 
@@ -100,6 +104,8 @@ class Model:
         its lattice: states are the last two letters, steps keep, swap or drop
         a character or break the word, costs are the channel's plus the
         language model's."""
+        if len(token) > 64:
+            return self._decode(token)
         if token not in self.kept:
             if len(self.kept) > 50_000:
                 self.kept.clear()
@@ -142,17 +148,30 @@ class Model:
         return "".join(reversed(out))
 
     def words(self, token: str) -> list[str]:
-        """The words of a token (lower case, no white space) after restoration."""
+        """The words of a token (lower case, no white space) after restoration.
+        Tokens of any length are decoded if they hold a sign or a doubled
+        letter; their plain reading is kept beside. Plain numbers and amounts
+        are no words, and ``!``, ``(`` and ``<`` at a word's end are marks."""
+        full = token.strip(MARKS)
+        if not any(x.isalpha() for x in token):
+            signs = {x for x in full if x in LEET}
+            if len(full) < 3 or len(signs) < 2 or AMOUNT.fullmatch(full) or all(x.isdigit() or x not in LEET for x in full):
+                return []
+            return self.restore(full).split()
         core = token.rstrip(MARKS + "$@!|+(<").lstrip(MARKS)
-        if core.isalpha() and not TRIPLE.search(core):
+        end = full[len(core) :]
+        more = any(x in ENDS for x in end)
+        if core.isalpha() and not more and not DOUBLE.search(core):
             return [core]
-        if not any(x.isalpha() for x in token):
-            return []
         found = WORDS.findall(core)
-        if not TRIPLE.search(core) and (not any(x in LEET for x in core) or len(core) > 64):
+        decoded = DOUBLE.search(core) or any(x in LEET for x in core)
+        if not decoded and not more:
             return found if len(found) != len(core) else []
         # a disguise may go with what the plain words say
-        return list(dict.fromkeys(self.restore(core).split() + [w for w in found if len(w) > 2]))
+        out = self.restore(core).split() if decoded else []
+        if more:
+            out += self.restore(full.rstrip("!(<")).split()
+        return list(dict.fromkeys(out + ([core] if core.isalpha() else [w for w in found if len(w) > 2])))
 
     def features(self, token: str) -> list[str]:
         out = []
