@@ -58,6 +58,15 @@ def sliding_windows(spark, sf_dir):
     return d.select("document_id", X.sentences(F.col("text")).alias("s")).select("document_id", F.posexplode(X.sliding(F.col("s"))).alias("window_index", "text"))
 
 
+@query(
+    f"""WITH s AS (SELECT doc_id AS document_id, {_SENTENCES} AS s FROM documents)
+    SELECT document_id, CAST(i AS INTEGER) AS window_index, array_to_string(s[i + 1 : i + 3], ' ') AS text FROM (SELECT *, unnest(range(0, greatest(len(s) - 2, 1))) AS i FROM s WHERE len(s) > 0)"""
+)
+def sliding_windows_whole(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    return d.select("document_id", X.sentences(F.col("text")).alias("s")).select("document_id", F.posexplode(X.sliding(F.col("s"))).alias("window_index", "text"))
+
+
 @query(
     r"""WITH w AS (SELECT doc_id AS document_id, list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '') AS w FROM documents)
     SELECT document_id, CAST(i // 512 AS INTEGER) AS chunk_index, array_to_string(w[i + 1 : i + 512], ' ') AS text FROM (SELECT *, unnest(range(0, len(w), 512)) AS i FROM w)"""
