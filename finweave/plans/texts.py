@@ -127,6 +127,12 @@ def filing_sections(spark, sf_dir):
     return text.sections(d.withColumn("text", t)).select("document_id", "item", F.length("text").cast("long").alias("chars"))
 
 
+@query("SELECT doc_id AS document_id, item, CAST(length(head || trim(text)) AS BIGINT) AS chars FROM documents, (VALUES ('item_1a', 'Item 1A. Risk Factors. '), ('item_2', 'Item 2. Properties. '), ('item_3', 'Item 3. Legal Proceedings. ')) h(item, head) WHERE length(trim(head || trim(text))) >= 100")
+def filing_sections_whole(spark, sf_dir):
+    t = F.concat_ws("\n", *[F.concat(F.lit(h), F.trim("text")) for h in ("Item 1A. Risk Factors. ", "Item 2. Properties. ", "Item 3. Legal Proceedings. ")])
+    return text.sections(documents(spark, sf_dir).withColumn("text", t)).select("document_id", "item", F.length("text").cast("long").alias("chars"))
+
+
 @query()
 def key_entities(spark, sf_dir):
     return text.key_entities(documents(spark, sf_dir))
