@@ -91,14 +91,15 @@ def embed(docs: DataFrame, size: int = 64) -> DataFrame:
     return m.select("id", raw.alias("embedding"))
 
 
-def context(passages: DataFrame, most: int = 1200) -> DataFrame:
-    """One text of ranked passages (rank, fy, section, source, text) with
-    their labels; line breaks become blanks, long ones are cut."""
+def context(passages: DataFrame, most: int = 1200, by: Sequence[str] = ()) -> DataFrame:
+    """One text (of each group ``by``) of ranked passages (rank, fy, section,
+    source, text) with their labels; line breaks become blanks, long ones are
+    cut."""
     t = F.replace("text", F.lit("\n"), F.lit(" "))
     cut = F.when(F.length(t) > most, F.concat(F.substring(t, 1, most), F.lit(" ..."))).otherwise(t)
     line = F.concat(F.lit("[fy="), F.coalesce(F.col("fy").cast("string"), F.lit("")), F.lit(" section="), F.coalesce("section", F.lit("")), F.lit(" source="), F.coalesce("source", F.lit("")), F.lit("] "), cut)
-    p = passages.select("rank", line.alias("line"))
-    return p.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n\n").alias("context"))
+    p = passages.select(*by, "rank", line.alias("line"))
+    return p.groupBy(*by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n\n").alias("context"))
 
 
 ANSWER = "struct<answer:string,citations:array<struct<fy:string,section:string,source:string,snippet:string>>,derived_metrics:array<struct<name:string,value:double,formula:string,source:string>>,viz_suggestions:array<struct<type:string,title:string,data_refs:array<string>>>>"

@@ -140,7 +140,7 @@ def key_entities(spark, sf_dir):
 
 @query()
 def corpus_topics(spark, sf_dir):
-    return text.topics(documents(spark, sf_dir).filter("lang = 'en'"), rounds=3)
+    return text.topics(documents(spark, sf_dir))
 
 
 _BM25 = f"""WITH d AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
@@ -222,6 +222,12 @@ def answer_context(spark, sf_dir):
     return retrieval.context(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("rank"), F.col("turn").alias("fy"), F.col("role").alias("section"), F.col("conv_id").cast("string").alias("source"), "text"), 80)
 
 
+@query("SELECT conv_id, coalesce(string_agg('[fy=' || turn || ' section=' || role || ' source=' || conv_id || '] ' || CASE WHEN length(t) > 1200 THEN substr(t, 1, 1200) || ' ...' ELSE t END, chr(10) || chr(10) ORDER BY turn), '') AS context FROM (SELECT *, replace(text, chr(10), ' ') AS t FROM conversations) GROUP BY conv_id")
+def answer_contexts_whole(spark, sf_dir):
+    c = D.read(spark, sf_dir, "conversations")
+    return retrieval.context(c.select("conv_id", F.col("turn").alias("rank"), F.col("turn").alias("fy"), F.col("role").alias("section"), F.col("conv_id").cast("string").alias("source"), "text"), by=["conv_id"])
+
+
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 'item ' || event_id AS answer FROM events""")
 def json_answers(spark, sf_dir):
     e = D.read(spark, sf_dir, "events")
