@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import secrets as py_secrets
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finweave.llm.shared import free
+
 # What is taken for personal data. A candidate must also be valid.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+# Repeats without a bound are possessive: Java walks those in a loop, others on its stack.
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 DATE = r"(?<![\d./-])(?:\d{4}([-/])\d{2}\1\d{2}|\d{2}([./-])\d{2}\2\d{4})(?![\d/-]|\.\d)"
 IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -21,6 +25,8 @@ ANY = "|".join((EMAIL, DATE, IP, SSN, PHONE, CARD, IBAN))
 ROUNDS = 8
 #: Dates of these days are permuted among each other.
 FIRST_DAY, DAYS, SIDE = "1900-01-01", 73_049, 271  # to 2099-12-31; SIDE * SIDE >= DAYS
+#: Valid social security numbers (898 areas, 99 groups, 9,999 serials) and the side of their square.
+SSNS, SSN_SIDE = 898 * 99 * 9_999, 29_816
 
 
 def let(value: Column, of: Callable[[Column], Column]) -> Column:
@@ -30,9 +36,19 @@ def let(value: Column, of: Callable[[Column], Column]) -> Column:
 
 
 def _f(key: str, kind: str, parity: Column, half: Column, at: Column, radix: Column) -> Column:
-    """The round function: a keyed digest of round and half, as a number below radix."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), parity.cast("string"), half, at.cast("string")), 256)
-    return F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), radix.cast("long"))
+    """The round function: a keyed digest of round and half, then of it and a
+    place, as a number below radix. The half is digested once for all places,
+    so a text takes work in proportion to its length."""
+    return _at(_digest(key, kind, parity, half), at, radix)
+
+
+def _digest(key: str, kind: str, parity: Column, half: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), parity.cast("string"), half), 256)
+
+
+def _at(digest: Column, at: Column, radix: Column) -> Column:
+    placed = F.sha2(F.concat_ws("|", digest, at.cast("string")), 256)
+    return F.pmod(F.conv(F.substring(placed, 1, 12), 16, 10).cast("long"), radix.cast("long"))
 
 
 def _alphabet(c: Column) -> tuple[Column, Column]:
@@ -48,11 +64,14 @@ def _alphabet(c: Column) -> tuple[Column, Column]:
 def _shift(text: Column, key: str, kind: str, n: Column, by: Column) -> Column:
     """Each character moved within its class by what the round function says of ``by``."""
 
-    def one(c: Column, i: Column) -> Column:
-        base, size = _alphabet(c)
-        return F.char(base + F.pmod(F.ascii(c) - base + _f(key, kind, n, by, i, size), size))
+    def moved(digest: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            base, size = _alphabet(c)
+            return F.when(size == 1, c).otherwise(F.char(base + F.pmod(F.ascii(c) - base + _at(digest, i, size), size)))
+
+        return F.array_join(F.transform(F.split(text, ""), one), "")
 
-    return F.when(F.length(text) == 0, F.lit("")).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
+    return F.when(F.length(text) == 0, F.lit("")).otherwise(let(_digest(key, kind, n, by), moved))
 
 
 def feistel_text(text: Column, key: str, kind: str) -> Column:
@@ -75,10 +94,12 @@ def _network(text: Column, key: str, kind: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda acc: F.concat(acc["a"], acc["b"]))
 
 
-def feistel_number(n: Column, key: str, kind: str, side: int, below: int) -> Column:
+def feistel_number(n: Column, key: str, kind: str, side: int, below: int, fits: Callable[[Column], Column] | None = None, walks: int = 24) -> Column:
     """A keyed permutation of 0..below-1 inside a square of ``side``: a network
-    on quotient and remainder, walked until it is below (a walk leaves with
-    chance 1 - below / side², so 24 suffice for sides that fit closely)."""
+    on quotient and remainder, walked until it is below and, if asked for, one
+    of those that ``fits`` holds for (which ``n`` must be itself, so the walk
+    comes back at the latest). A step misses with the share of numbers that do
+    not fit: 24 steps suffice for sides that fit closely, 96 if half fit."""
 
     def once(x: Column) -> Column:
         def step(acc: Column, r: Column) -> Column:
@@ -92,9 +113,10 @@ def feistel_number(n: Column, key: str, kind: str, side: int, below: int) -> Col
 
     def walk(acc: Column, _: Column) -> Column:
         moved = F.when(acc["done"], acc["x"]).otherwise(once(acc["x"]))
-        return F.struct((acc["done"] | (moved < below)).alias("done"), moved.alias("x"))
+        # the step is computed once: both fields speak of it
+        return let(moved, lambda x: F.struct((acc["done"] | ((x < below) & fits(x) if fits else x < below)).alias("done"), x.alias("x")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(24)), walked, walk, lambda acc: acc["x"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(walks)), walked, walk, lambda acc: acc["x"])
 
 
 def luhn(digits: Column) -> Column:
@@ -159,8 +181,17 @@ def _phone(m: Column, key: str) -> Column:
 
 
 def _ssn(m: Column, key: str) -> Column:
+    """Valid numbers (area 001-899 but 666, group 01-99, serial 0001-9999) are permuted among each other."""
     valid = ~m.rlike("^(000|666|9)") & (F.substring(m, 5, 2) != "00") & (F.substring(m, 8, 4) != "0000")
-    return F.when(valid, _refill(m, feistel_text(F.replace(m, F.lit("-"), F.lit("")), key, "ssn"), "[0-9]")).otherwise(m)
+    part = lambda at, n: F.substring(m, at, n).cast("long")
+    area = part(1, 3) - 1 - F.when(part(1, 3) > 666, 1).otherwise(0)
+    number = (area * 99 + part(5, 2) - 1) * 9_999 + part(8, 4) - 1
+
+    def told(x: Column) -> Column:
+        a = F.floor(x / (99 * 9_999)) + 1
+        return F.format_string("%03d-%02d-%04d", a + F.when(a >= 666, 1).otherwise(0), F.pmod(F.floor(x / 9_999), F.lit(99)) + 1, F.pmod(x, F.lit(9_999)) + 1)
+
+    return F.when(valid, let(feistel_number(number, key, "ssn", SSN_SIDE, SSNS), told)).otherwise(m)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -171,16 +202,25 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """Year first, or year last with the day first if that is a date, else with the month first."""
+    """Year first, or year last with the day first if that is a date, else with
+    the month first. All dates are permuted among each other, the same way in
+    the first two formats; those of the third, whose days are above 12 (others
+    would be read day first), among themselves."""
     sep = F.regexp_extract(m, "([-./])", 1)
     p = F.split(m, "[-./]")
     a, b, c = (F.element_at(p, i) for i in (1, 2, 3))
+    first = F.lit(FIRST_DAY).cast("date")
     iso = lambda y, mo, d: F.try_to_date(F.concat_ws("-", y, mo, d), "yyyy-MM-dd")
-    forms = ((F.length(a) == 4, iso(a, b, c), "yyyy MM dd"), (F.length(c) == 4, iso(c, b, a), "dd MM yyyy"), (F.length(c) == 4, iso(c, a, b), "MM dd yyyy"))
+    late = lambda x: F.dayofmonth(F.date_add(first, x.cast("int"))) > 12
+    forms = (
+        (F.length(a) == 4, iso(a, b, c), "yyyy MM dd", {"kind": "date"}),
+        (F.length(c) == 4, iso(c, b, a), "dd MM yyyy", {"kind": "date"}),
+        (F.length(c) == 4, iso(c, a, b), "MM dd yyyy", {"kind": "month-first", "fits": late, "walks": 96}),
+    )
     out = m
-    for cond, day, order in reversed(forms):
-        n = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-        new = F.date_add(F.lit(FIRST_DAY).cast("date"), feistel_number(n, key, "date", SIDE, DAYS).cast("int"))
+    for cond, day, order, how in reversed(forms):
+        n = F.datediff(day, first)
+        new = F.date_add(first, feistel_number(n, key, side=SIDE, below=DAYS, **how).cast("int"))
         out = F.when(cond & n.between(0, DAYS - 1), F.replace(F.date_format(new, order), F.lit(" "), sep)).otherwise(out)
     return out
 
@@ -205,22 +245,40 @@ def pseudonym(value: Column, key: str) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = "finweave", column: str = "text") -> DataFrame:
+KEY = "spark.finweave.pseudonym.secret"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session's configuration names, so that pseudonyms stay
+    the same from run to run; where it names none, a random one that holds for
+    this session alone. (Spark hides settings with ``secret`` in their names;
+    plans and event logs tell the key, so they need the care of the data.)"""
+    if not spark.conf.get(KEY, None):
+        spark.conf.set(KEY, py_secrets.token_hex(32))
+    return spark.conf.get(KEY)
+
+
+def pseudonymise(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
     """``docs`` with personal data in ``column`` replaced by pseudonyms, and
-    n_replaced (long), the number of values replaced.
+    n_replaced (long), the number of values replaced. Whoever knows the key can
+    undo them; an empty key is refused.
 
     Emails, dates, IPv4 addresses, card numbers (Luhn), IBANs (mod 97), phone
     numbers and US social security numbers that are valid are permuted within
     their format by a key, so equal values stay equal in all documents and
     checks stay valid. Null texts stay null, with 0; other columns pass
-    through. The text between the values is kept to the character.
+    through. The text between the values is kept to the character. Candidates
+    of any length take work in proportion to it.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     text = F.col(column)
     some = text.rlike("[0-9@]")
-    work = docs.withColumn("__found", F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    work = work.withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", lambda m: pseudonym(m, key))))
+    found, new = free(docs, "__found"), free(docs, "__new")
+    work = docs.withColumn(found, F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    work = work.withColumn(new, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, key))))
     parts = F.split(text, ANY, -1)
-    rest = F.zip_with("__new", F.slice(parts, F.lit(2), F.size("__new")), lambda a, b: F.concat(a, b))
-    done = F.when(F.col("__new").isNull(), text).otherwise(F.concat(F.element_at(parts, 1), F.array_join(rest, "")))
-    n = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x))
-    return work.withColumn("n_replaced", F.when(F.col("__new").isNull(), F.lit(0)).otherwise(n).cast("long")).withColumn(column, done).drop("__found", "__new")
+    rest = F.zip_with(new, F.slice(parts, F.lit(2), F.size(new)), lambda a, b: F.concat(a, b))
+    done = F.when(F.col(new).isNull(), text).otherwise(F.concat(F.element_at(parts, 1), F.array_join(rest, "")))
+    n = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
+    return work.withColumn("n_replaced", F.when(F.col(new).isNull(), F.lit(0)).otherwise(n).cast("long")).withColumn(column, done).drop(found, new)

@@ -40,7 +40,7 @@ def op6_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced")
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), pii.session_key(spark)).select("doc_id", "text", "n_replaced")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

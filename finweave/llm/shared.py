@@ -45,6 +45,14 @@ def clean(spark: SparkSession) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Null-safe equi-join that keeps the left side's keys."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
@@ -87,10 +95,11 @@ BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """``df`` after its session's Arrow batches got a size in bytes, unless they
-    have one: with the default of 10,000 rows, long texts make huge batches."""
+    """``df`` for a step in Python. With the default of 10,000 rows, long texts
+    make huge batches, so a session that has not set the size of its Arrow
+    batches in bytes gets one of 8 MB; one that has, in whatever unit, keeps it."""
     conf = df.sparkSession.conf
-    if int(conf.get(BATCH, str(2**31 - 1)).rstrip("mMbB") or 0) >= 2**31 - 1:
+    if conf.get(BATCH, None) in (None, "", "-1", "2147483647", "2147483647b"):
         conf.set(BATCH, "8m")
     return df
 

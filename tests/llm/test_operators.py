@@ -408,7 +408,7 @@ def test_pseudonyms(spark):
         "nothing here é",
     ]
     d = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_replaced int")
-    out = [(r["text"], r["n_replaced"]) for r in pii.pseudonymise(d).orderBy("doc_id").collect()]
+    out = [(r["text"], r["n_replaced"]) for r in pii.pseudonymise(d, "k").orderBy("doc_id").collect()]
     assert [n for _, n in out] == [2, 2, 2, 2, 1, 1, 1, 0, 0, 0]
     cards = re.findall(r"\d[\d-]{15,}", out[0][0])
     assert luhn(cards[0]) and cards[0] == cards[1].replace("-", "") != "4799134681044206" and cards[2] == "4799134681044207"
@@ -421,7 +421,7 @@ def test_pseudonyms(spark):
     assert "300.1.1.1" in out[4][0] and "82.43.185.109" not in out[4][0]
     assert "000-12-3456" in out[6][0]
     assert [t for t, _ in out[7:]] == [None, "", "nothing here é"]
-    assert pii.pseudonymise(frame(spark)).count() == len(rows()) and pii.pseudonymise(empty(spark)).count() == 0
+    assert pii.pseudonymise(frame(spark), "k").count() == len(rows()) and pii.pseudonymise(empty(spark), "k").count() == 0
 
 
 def test_feistel_is_a_permutation(spark):
@@ -541,5 +541,15 @@ def test_written_frames_can_be_cleaned(spark):
     assert os.path.exists(place)
 
 
+def test_sizes_of_batches_are_kept_in_any_unit(spark):
+    kept = spark.conf.get(shared.BATCH, None)
+    try:
+        for size in ("1g", "64k", "3m", "1048576"):
+            spark.conf.set(shared.BATCH, size)
+            assert shared.bounded(spark.range(1)) is not None and spark.conf.get(shared.BATCH) == size
+    finally:
+        spark.conf.set(shared.BATCH, kept) if kept else spark.conf.unset(shared.BATCH)
+
+
 def test_base_text_is_long_enough():
     assert len(BASE.split()) > 25

@@ -11,12 +11,15 @@ import pytest
 from finweave.llm import pii, queries
 
 SF = "/root/testdata/sf0.001"
-KEY = "finweave"
+KEY = "a key of the tests"
+
+
+def sha(*parts):
+    return hashlib.sha256("|".join(parts).encode()).hexdigest()
 
 
 def f(kind, n, half, at, radix):
-    digest = hashlib.sha256("|".join((KEY, kind, str(n), half, str(at))).encode()).hexdigest()
-    return int(digest[:12], 16) % radix
+    return int(sha(sha(KEY, kind, str(n), half), str(at))[:12], 16) % radix
 
 
 def shift(text, kind, n, by):
@@ -41,13 +44,13 @@ def network(text, kind):
     return a + b
 
 
-def number(x, kind, side, below):
+def number(x, kind, side, below, fits=lambda x: True):
     while True:
         a, b = divmod(x, side)
         for n in range(pii.ROUNDS):
             a, b = b, (a + f(kind, n, str(b), 0, side)) % side
         x = a * side + b
-        if x < below:
+        if x < below and fits(x):
             return x
 
 
@@ -84,7 +87,10 @@ def replaced(m):
         for at, order in forms:
             n = day(*(p[i] for i in at))
             if n is not None:
-                new = date(1900, 1, 1) + timedelta(number(n, "date", pii.SIDE, pii.DAYS))
+                late = order == ("m", "d", "y")
+                start = date(1900, 1, 1)
+                x = number(n, "month-first", pii.SIDE, pii.DAYS, lambda x: (start + timedelta(x)).day > 12) if late else number(n, "date", pii.SIDE, pii.DAYS)  # noqa: B023
+                new = start + timedelta(x)
                 return sep.join({"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}[x] for x in order)
         return m
     if re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", m):
@@ -92,7 +98,11 @@ def replaced(m):
         return ".".join(map(str, x.to_bytes(4, "big")))
     if re.fullmatch(r"\d{3}-\d{2}-\d{4}", m):
         bad = m.startswith(("000", "666", "9")) or m[4:6] == "00" or m[7:] == "0000"
-        return m if bad else refill(m, network(digits, "ssn"), "[0-9]")
+        if bad:
+            return m
+        areas = [a for a in range(1, 900) if a != 666]
+        x = number((areas.index(int(m[:3])) * 99 + int(m[4:6]) - 1) * 9999 + int(m[7:]) - 1, "ssn", pii.SSN_SIDE, pii.SSNS)
+        return f"{areas[x // (99 * 9999)]:03d}-{x // 9999 % 99 + 1:02d}-{x % 9999 + 1:04d}"
     if re.fullmatch(r"(\+\d{1,3}[ .-]?)?(\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}", m):
         return refill(m, digits[:-10] + network(digits[-10:], "phone"), "[0-9]")
     if re.fullmatch(r"\d([ -]?\d){12,18}", m):
@@ -119,6 +129,7 @@ def brute(text):
 
 def test_query_equals_brute_force(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    spark.conf.set(pii.KEY, KEY)
     got = queries.op7_pseudonyms(spark, SF).collect()
     assert len(got) == len(texts)
     found = 0
@@ -141,5 +152,46 @@ def test_query_equals_brute_force(spark):
 )
 def test_kinds_equal_brute_force(spark, text):
     d = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    r = pii.pseudonymise(d).first()
+    r = pii.pseudonymise(d, KEY).first()
+    assert (r["text"], r["n_replaced"]) == brute(text)
+
+
+#: A candidate of every kind that goes on and on, or nearly is one.
+LONG = ["a@b" + ".b" * 20_000, "a" * 30_000 + "@b.co", "a@" + "b" * 30_000 + ".co", "a@" * 20_000, "1 " * 20_000, "12-" * 20_000, "1." * 20_000, "DE89" + " 3704" * 8_000, "A1" * 20_000, "123-45-" * 8_000, "(555) " * 8_000, "2024-01-" * 5_000]
+
+
+@pytest.mark.parametrize("text", LONG, ids=lambda t: t[:8])
+def test_long_candidates(spark, text):
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = pii.pseudonymise(d, KEY).first()
     assert (r["text"], r["n_replaced"]) == brute(text)
+    assert len(r["text"]) == len(text)
+
+
+def test_dates_are_permuted_within_their_format(spark):
+    days = [date(1990, 1, 1) + timedelta(i) for i in range(13_000)]
+    texts = {f"{d:%d/%m/%Y}" for d in days} | {f"{d:%m/%d/%Y}" for d in days if d.day > 12}
+    got = {r["text"] for r in pii.pseudonymise(spark.createDataFrame([(x,) for x in texts], "text string"), KEY).collect()}
+    assert len(got) == len(texts) > 20_000
+    late = {f"{d:%m/%d/%Y}" for d in days if d.day > 12}
+    out = [r["text"] for r in pii.pseudonymise(spark.createDataFrame([(x,) for x in late], "text string"), KEY).collect()]
+    assert all(int(x[3:5]) > 12 for x in out)
+
+
+def test_social_security_numbers_stay_valid(spark):
+    texts = [f"{a:03d}-{g:02d}-{s:04d}" for a in (1, 2, 665, 667, 899) for g in (1, 50, 99) for s in range(1, 9_999, 61)]
+    got = [r["text"] for r in pii.pseudonymise(spark.createDataFrame([(x,) for x in texts], "text string"), KEY).collect()]
+    assert len(set(got)) == len(texts)
+    assert all(1 <= int(x[:3]) <= 899 and x[:3] != "666" and x[4:6] != "00" and x[7:] != "0000" and re.fullmatch(r"\d{3}-\d\d-\d{4}", x) for x in got)
+
+
+def test_a_key_is_needed(spark):
+    d = spark.createDataFrame([("a@b.co", 1, 2)], "text string, __found int, __new int")
+    with pytest.raises(ValueError):
+        pii.pseudonymise(d, "")
+    with pytest.raises(TypeError):
+        pii.pseudonymise(d)
+    one, two = (pii.pseudonymise(d, k).first() for k in ("k1", "k2"))
+    assert one["text"] != two["text"] and one["__found"] == 1 and one["__new"] == 2
+    spark.conf.unset(pii.KEY)
+    assert pii.session_key(spark) == pii.session_key(spark) != ""
