@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from finweave.llm.shared import bounded, materialise, prefix_sum
 from finweave.llm.tokens import encoded
 
-#: Buckets that split rows of equal length; bounds what one window holds.
-BUCKETS = 256
-PLACE = "__length int, __first long, __last long, __bin long, __at int, __each int"
+#: Least number of buckets that split rows of equal length, and rows of all to a bucket beyond it.
+BUCKETS, CELL = 256, 500_000
+#: Pieces of which fewer fill a sequence have sequences opened for their own class.
+CLASSES = 6
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
@@ -40,82 +41,143 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
     return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def sweep(counts: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """Bulk-synchronous best fit over runs.
+def to_open(gaps: np.ndarray, left: np.ndarray) -> int:
+    """How many sequences to open, given the open sequences by gap and the
+    unplaced pieces by length: none while the longest piece fits somewhere.
+    Else what pieces of its class (of which as many fill a sequence) need that
+    fit nowhere; from CLASSES on, what all need that fit nowhere."""
+    capacity = len(left) - 1
+    longest, widest = _last(left), _last(gaps)
+    if longest <= widest:
+        return 0
+    fill = capacity // longest
+    if fill < CLASSES:
+        return -(-int(left[max(widest, capacity // (fill + 1)) + 1 :].sum()) // fill)
+    return max(1, int((np.arange(capacity + 1) * left)[widest + 1 :].sum()) // capacity)
 
-    ``counts`` are (length, pieces of it). Pieces of one length, and sequences
-    with one gap, are interchangeable, so both are runs of ranks: at most
-    ``capacity`` of each, however many pieces there are. One superstep takes a
-    run of pieces, longest first: it sweeps to the successor (the smallest gap
-    that holds the length), hands that run's sequences out by rank, each as
-    many pieces as its gap holds (the next best fit of an equal piece is the
-    sequence just narrowed), updates the gaps and goes on with the ranks left
-    over; what finds no gap opens sequences. The outcome is that of sequential
-    best fit with decreasing lengths.
 
-    Returns rows of PLACE: ranks first..last-1 of a length go to sequences
-    bin, bin+1, ..., ``each`` in a row to one, from offset ``at`` on.
+def _last(counts: np.ndarray) -> int:
+    return int(np.flatnonzero(counts)[-1]) if counts.any() else 0
+
+
+def depths(gaps: np.ndarray, left: np.ndarray) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int]]]:
+    """Where the sweep of one superstep stands at each size, longest first.
+
+    A gap offers one slot, or, if it holds several of the longest pieces, as
+    many. Slots are stacked as the sweep comes down to their size and each
+    piece takes the top one: its successor among the gaps that no longer piece
+    has taken. Returns (gap, its first slot's level, slots of each, the level
+    below which none of them is taken) and (length, level above its first
+    piece, pieces that find a slot); a size class of either is a row, so both
+    have ``capacity`` rows at most.
     """
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap: runs of sequences (first, past the last)
-    widths: list[int] = []
-    places, opened = [], 0
-
-    def leave(gap: int, a: int, b: int) -> None:
-        if gap and a < b:
-            if not gaps[gap]:
-                insort(widths, gap)
-            if gaps[gap] and gaps[gap][-1][1] == a:
-                gaps[gap][-1] = (gaps[gap][-1][0], b)
-            else:
-                gaps[gap].append((a, b))
-
-    for length, n in sorted(counts, reverse=True):
-        done = 0
-        while done < n:
-            k = bisect_left(widths, length)
-            if k < len(widths):
-                gap = widths[k]
-                a, b = gaps[gap].pop()
-                if not gaps[gap]:
-                    widths.pop(k)
-            else:
-                gap, a = capacity, opened
-                b = opened = opened + -(-(n - done) // (capacity // length))
-            each = gap // length
-            use = min(b - a, -(-(n - done) // each))
-            took = min(n - done, use * each)
-            places.append((length, done, done + took, a, capacity - gap, each))
-            done += took
-            full = took // each
-            leave(gap - each * length, a, a + full)
-            leave(gap - (took - full * each) * length, a + full, a + use)
-            leave(gap, a + use, b)
-    return places
+    capacity = len(left) - 1
+    longest, least = _last(left), int(np.flatnonzero(left)[0])
+    depth, events = 0, []
+    for size in range(longest, least - 1, -1):
+        for gap in range(capacity, size - 1, -1) if size == longest else (size,):
+            if gaps[gap]:
+                each = max(1, gap // longest)
+                events.append((True, gap, depth, each))
+                depth += int(gaps[gap]) * each
+        n = min(int(left[size]), depth)
+        if n:
+            events.append((False, size, depth, n))
+            depth -= n
+    slots, pops, floor = [], [], depth
+    for push, size, at, n in reversed(events):
+        if push:
+            slots.append((size, at, n, floor))
+        else:
+            pops.append((size, at, n))
+            floor = min(floor, at - n)
+    return slots, pops
+
+
+def superstep(state: DataFrame, ordered: DataFrame, slots: list, pops: list, done: np.ndarray, capacity: int, buckets: int) -> DataFrame:
+    """length, rank, sequence_id and offset of the pieces that find a place in
+    the open sequences ``state`` (seq, gap). ``ordered``: length and rank of all
+    pieces, of which the first ``done`` of each length have their places."""
+    spark, c = state.sparkSession, F.col
+    longest = max(x for x, _, _ in pops)
+    held = F.broadcast(spark.createDataFrame(slots, "gap int, base long, each int, floor long"))
+    cells = state.withColumns({"bucket": F.pmod(F.xxhash64("seq"), F.lit(buckets)).cast("int"), "one": F.lit(1).cast("long")})
+    gaps = prefix_sum(cells, ["gap"], ["bucket"], [c("seq")], "one", "nth").join(held, "gap").withColumn("first", c("base") + c("nth") * c("each"))
+    gaps = gaps.filter(c("first") + c("each") > c("floor"))
+    gaps = gaps.withColumn("slot", F.explode(F.sequence(F.greatest(F.lit(0), (c("floor") - c("first")).cast("int")), c("each") - 1)))
+    offers = gaps.select(F.least("gap", F.lit(longest)).alias("size"), (c("first") + c("slot")).alias("level"), F.lit(None).cast("long").alias("rank"), F.struct("seq", "gap", "slot").alias("at"))
+    wanted = F.broadcast(spark.createDataFrame([(s, top, n, int(done[s])) for s, top, n in pops], "size int, top long, n long, done long"))
+    asked = ordered.filter(c("length").between(min(x for x, _, _ in pops), longest)).select(c("length").alias("size"), "rank").join(wanted, "size").filter((c("rank") >= c("done")) & (c("rank") < c("done") + c("n")))
+    asked = asked.select("size", (c("top") - 1 - c("rank") + c("done")).alias("level"), "rank", F.lit(None).cast("struct<seq:long,gap:int,slot:int>").alias("at"))
+    # at one level of the stack slots and pieces take turns, with smaller sizes from pair to pair
+    turns = Window.partitionBy("level").orderBy(c("size").desc(), c("rank").isNotNull())
+    met = offers.unionByName(asked).withColumn("to", F.lag("at").over(turns)).filter("rank is not null").select("size", "rank", "to.*")
+    earlier = Window.partitionBy("seq").orderBy(c("slot").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.lit(capacity) - c("gap") + F.coalesce(F.sum("size").over(earlier), F.lit(0))
+    return met.select(c("size").alias("length"), "rank", c("seq").alias("sequence_id"), offset.cast("long").alias("offset"))
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, key: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """Adds sequence_id and offset to pieces of 1..capacity ``length``.
-
-    Ranks among pieces of equal length are counted distributed, by hash bucket
-    and then within it, so a length that a third of all pieces share is no
-    single task. Only the histogram of lengths (``capacity`` rows at most)
-    comes to the driver, and only the placement runs, whose number depends on
-    ``capacity`` alone, go out. Repeated rows are packed once each. Rows with
-    null or impossible lengths are refused by an error; an empty table packs
-    to an empty one.
+    """Adds sequence_id and offset to pieces of 1..capacity ``length``, by
+    bulk-synchronous best fit.
+
+    Pieces are range-sorted by length, with ranks among equal ones, and open
+    sequences by gap. A superstep sweeps both from the longest down, as with
+    brackets: a gap opens one (or more, if it holds several of the longest
+    pieces), a piece closes the nearest open one. Prefix sums over the size
+    classes tell how deep the sweep is at each; ranks within a class, counted
+    by hash bucket, then tell each slot's and each piece's own level, so pieces
+    that want the same gap are parted by rank, and slot and piece meet in a
+    window of their level, which holds two rows of a size class at most. Gaps
+    are updated and the next superstep takes the pieces left over; sequences
+    are opened when the longest of them fits nowhere. The number of supersteps
+    depends on the capacity and the spread of lengths, not on how many pieces
+    there are; no task and no driver holds more than size classes (``capacity``
+    of them) or its share of a hash bucket.
+
+    Repeated rows are packed once each. Rows with null or impossible lengths
+    are refused by an error; an empty table packs to an empty one. Columns of
+    any names pass through, except that earlier sequence_id and offset give way.
     """
-    spark = pieces.sparkSession
-    counts = [(r[0], r[1]) for r in pieces.groupBy("length").agg(F.count(F.lit(1))).collect()]
-    if any(x is None or not 0 < x <= capacity for x, _ in counts):
+    spark, c = pieces.sparkSession, F.col
+    valid = F.when(c("length").between(1, capacity), c("length")).cast("int")
+    counts = pieces.groupBy(valid.alias("length")).agg(F.count(F.lit(1)).alias("n")).collect()
+    if any(r["length"] is None for r in counts):
         raise ValueError(f"lengths must be 1..{capacity}")
-    places = spark.createDataFrame(sweep(counts, capacity), PLACE)
-    cols = pieces.columns
-    rows = pieces.withColumn("__bucket", F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")).withColumn("__one", F.lit(1).cast("long"))
-    ranked = prefix_sum(rows, ["length"], ["__bucket"], [F.col(k) for k in key], "__one", "__rank")
-    c = F.col
-    met = ranked.join(F.broadcast(places), (c("length") == c("__length")) & (c("__rank") >= c("__first")) & (c("__rank") < c("__last")))
-    nth = c("__rank") - c("__first")
-    return met.select(*cols, (c("__bin") + F.floor(nth / c("__each"))).cast("long").alias("sequence_id"), (c("__at") + F.pmod(nth, c("__each").cast("long")) * c("length")).cast("long").alias("offset"))
+    cols = [x for x in pieces.columns if x.lower() not in ("sequence_id", "offset")]
+    left = np.zeros(capacity + 1, np.int64)
+    for r in counts:
+        left[r["length"]] = r["n"]
+    done, total = np.zeros(capacity + 1, np.int64), int(left.sum())
+    if not total:
+        return pieces.select(*cols, F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset")).limit(0)
+    rows = pieces.select(F.struct(*cols).alias("row"), c("length").cast("int").alias("length"), F.lit(1).cast("long").alias("one"), F.pmod(F.xxhash64(*key), F.lit(max(BUCKETS, total // CELL))).cast("int").alias("bucket"))
+    ranked = prefix_sum(rows, ["length"], ["bucket"], [c("row")[k] for k in key], "one", "rank").select("length", "rank", "row")
+    ranked = materialise(ranked.repartitionByRange(c("length").desc(), c("rank")).sortWithinPartitions(c("length").desc(), c("rank")), "sorted-pieces")
+    state, opened, places = None, 0, []
+    gaps = np.zeros(capacity + 1, np.int64)
+    while left.any():
+        if n := to_open(gaps, left):
+            fresh = spark.range(opened, opened + n).select(c("id").alias("seq"), F.lit(capacity).alias("gap"))
+            state = fresh if state is None else state.unionByName(fresh)
+            opened += n
+            gaps[capacity] += n
+        slots, pops = depths(gaps, left)
+        met = materialise(superstep(state, ranked.select("length", "rank"), slots, pops, done, capacity, max(64, opened // CELL)), "places")
+        places.append(met)
+        for size, _, n in pops:
+            left[size] -= n
+            done[size] += n
+        if left.any():
+            least = int(np.flatnonzero(left)[0])
+            taken = met.groupBy("sequence_id").agg(F.sum("length").cast("int").alias("taken"))
+            state = state.join(taken, c("seq") == c("sequence_id"), "left").select("seq", (c("gap") - F.coalesce("taken", F.lit(0))).alias("gap"))
+            state = materialise(state.filter(c("gap") >= least), "gaps")
+            gaps[:] = 0
+            for r in state.groupBy("gap").agg(F.count(F.lit(1)).alias("n")).collect():
+                gaps[r["gap"]] = r["n"]
+    all_ = reduce(DataFrame.unionByName, places)
+    return ranked.join(all_, ["length", "rank"]).select("row.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
