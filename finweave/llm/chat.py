@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finweave.llm.shared import join_same, materialise, prefix_sum
+from finweave.llm.shared import materialise, prefix_sum, spread_join
 
 SYSTEM, NOBODY, END = "system", "unknown", "<|end|>\n"
+#: Signs of a name that could end or open a marker, and how a header writes them.
+NAME_SIGNS = (("%", "%25"), ("|", "%7C"), ("<", "%3C"), (">", "%3E"), ("\n", "%0A"), ("\r", "%0D"))
+
+
+def header_name(speaker: Column) -> Column:
+    """A speaker as a header shows it: no two speakers alike, no marker within."""
+    return reduce(lambda c, sign: F.replace(c, F.lit(sign[0]), F.lit(sign[1])), NAME_SIGNS, speaker)
 
 
 def rotations(turns: DataFrame) -> DataFrame:
@@ -28,6 +37,11 @@ def rotations(turns: DataFrame) -> DataFrame:
     Null texts are empty. ``<|`` in a text becomes ``< |``: no text can play a
     marker. Conversations of the system alone, null conv_ids with nobody in
     them and empty tables give no rows.
+
+    Names are data as well: a header writes the signs of a speaker's name that
+    could end or open a marker as ``%`` and two digits; the column ``speaker``
+    has the name itself. A conversation with many of all turns meets its
+    participants in as many tasks as its size asks for.
     """
     said = turns.select(
         "conv_id",
@@ -36,10 +50,10 @@ def rotations(turns: DataFrame) -> DataFrame:
         F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
     )
     people = said.filter(F.col("speaker") != SYSTEM).select("conv_id", F.col("speaker").alias("perspective")).distinct()
-    seen = join_same(said, people, ["conv_id"])
+    seen = spread_join(materialise(said, "said"), people, ["conv_id"])
     mine = F.col("speaker") == F.col("perspective")
     as_role = F.when(mine, "assistant").when(F.col("speaker") == SYSTEM, "system").otherwise("user")
-    head = F.when(as_role == "user", F.concat(F.lit("<|user name="), F.col("speaker"), F.lit("|>\n"))).otherwise(F.concat(F.lit("<|"), as_role, F.lit("|>\n")))
+    head = F.when(as_role == "user", F.concat(F.lit("<|user name="), header_name(F.col("speaker")), F.lit("|>\n"))).otherwise(F.concat(F.lit("<|"), as_role, F.lit("|>\n")))
     seen = seen.select(
         "conv_id",
         "perspective",
@@ -65,7 +79,7 @@ WITH said AS (
          CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS as_role
   FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
 ), headed AS (
-  SELECT *, CASE WHEN as_role = 'user' THEN '<|user name=' || speaker || '|>' ELSE '<|' || as_role || '|>' END || chr(10) AS head FROM seen
+  SELECT *, CASE WHEN as_role = 'user' THEN '<|user name=' || replace(replace(replace(replace(replace(replace(speaker, '%', '%25'), '|', '%7C'), '<', '%3C'), '>', '%3E'), chr(10), '%0A'), chr(13), '%0D') || '|>' ELSE '<|' || as_role || '|>' END || chr(10) AS head FROM seen
 ), whole AS (
   SELECT *, head || text || '<|end|>' || chr(10) AS rendered FROM headed
 ), placed AS (

@@ -63,6 +63,34 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+#: Rows of one key that a task may take whatever their share.
+HOT_ROWS = 512
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys`` and parts (int, 2 or more) of the keys that have more rows than
+    HOT_ROWS and than a quarter of a mean shuffle partition. So they are fewer
+    than four times the shuffle partitions, however large ``df`` is."""
+    spark = df.sparkSession
+    sizes = materialise(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > HOT_ROWS), "sizes")
+    least = max(HOT_ROWS, df.count() // (4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    return sizes.filter(F.col("__n") > least).select(*keys, F.ceil(F.col("__n") / least).cast("int").alias("__parts"))
+
+
+def spread_join(many: DataFrame, few: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Null-safe inner equi-join of a written side with hot keys to one with
+    few rows of each key: rows of a hot key are dealt to parts by a hash of
+    ``by`` (all columns, if none are named), and the other side's rows of that
+    key go to each part. The list of hot keys is broadcast; ``hot_keys`` bounds it."""
+    hot = materialise(hot_keys(many, keys), "hot-keys")
+    if hot.isEmpty():
+        return join_same(many, few, keys)
+    hot = F.broadcast(hot)
+    dealt = join_same(many, hot, keys, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*(by or many.columns)), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
+    each = join_same(few, hot, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return join_same(dealt, each, [*keys, "__part"]).drop("__part")
+
+
 def prefix_sum(df: DataFrame, group: Sequence[str], levels: Sequence[str], order: Sequence[Column], value: str, out: str) -> DataFrame:
     """Exclusive running sum of ``value`` in each ``group`` in the order
     ``levels`` then ``order`` (nulls first), without a task that holds a group.

@@ -8,7 +8,9 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import parity
 import pyarrow as pa
 import pytest
 from edges import BASE, empty, frame, rows
@@ -305,32 +307,77 @@ def test_packing_edges(spark, plain):
         packing.pack(spark.createDataFrame([(1, 0, 17)], "doc_id long, piece int, length long"), 16)
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_sweep_is_sequential_best_fit(seed):
+def best_fit_decreasing(lengths, capacity):
+    """Number of sequences of sequential best fit, longest first."""
     from bisect import bisect_left, insort
 
-    g = random.Random(seed)
-    counts = Counter(g.randint(1, 64) for _ in range(g.randint(1, 900)))
-    places = packing.sweep(list(counts.items()), 64)
-    fill = defaultdict(list)
-    for length, first, last, b, at, each in places:
-        for r in range(last - first):
-            fill[b + r // each].append((at + r % each * length, length))
-    assert sum(map(len, fill.values())) == sum(counts.values())
-    for seq in fill.values():
+    gaps: list[int] = []
+    for x in sorted(lengths, reverse=True):
+        k = bisect_left(gaps, x)
+        insort(gaps, (gaps.pop(k) if k < len(gaps) else capacity) - x)
+    return len(gaps)
+
+
+@pytest.mark.parametrize(
+    "lengths",
+    [
+        [random.Random(3).randint(1, 64) for _ in range(500)],
+        [min(64, 1 + int(random.Random(k).expovariate(1 / 9))) for k in range(700)],
+        [22] * 300 + [40] * 50 + [3] * 200,
+        [1] * 200,
+        [64] * 5 + [33] * 9,
+    ],
+    ids=["even", "short", "hot", "ones", "long"],
+)
+def test_supersteps_pack_as_tight_as_sequential_best_fit(spark, lengths):
+    d = spark.createDataFrame([(i, 0, n, "x") for i, n in enumerate(lengths)], "doc_id long, piece int, length int, rank string")
+    by = defaultdict(list)
+    for r in packing.pack(d, 64).collect():
+        assert r["length"] == lengths[r["doc_id"]] and r["rank"] == "x"
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sum(map(len, by.values())) == len(lengths)
+    for seq in by.values():
         at = 0
         for o, n in sorted(seq):
             assert o == at
             at += n
         assert at <= 64
-    gaps, bins = [], 0
-    for n in sorted(counts.elements(), reverse=True):
-        k = bisect_left(gaps, n)
-        gap = gaps.pop(k) if k < len(gaps) else 64
-        bins += gap == 64
-        if gap > n:
-            insort(gaps, gap - n)
-    assert len(fill) == bins
+    assert len(by) <= best_fit_decreasing(lengths, 64)
+
+
+def test_pieces_meet_their_successors():
+    """One superstep's slots and pieces against a sweep with a real stack."""
+    g = random.Random(5)
+    for _ in range(200):
+        gaps, left = np.zeros(31, np.int64), np.zeros(31, np.int64)
+        for _ in range(g.randint(1, 12)):
+            gaps[g.randint(1, 30)] += g.randint(1, 3)
+            left[g.randint(1, 30)] += g.randint(1, 3)
+        longest = int(np.flatnonzero(left)[-1])
+        slots, pops = packing.depths(gaps, left)
+        own = {}
+        for gap, base, each, floor in slots:
+            for k in range(int(gaps[gap]) * each):
+                if base + k >= floor:
+                    own.setdefault(base + k, []).append((-min(gap, longest), 0, gap))
+        for size, top, n in pops:
+            for k in range(n):
+                own.setdefault(top - 1 - k, []).append((-size, 1, size))
+        got = Counter()
+        for turns in own.values():
+            turns.sort()
+            for one, two in itertools.pairwise(turns):
+                if two[1]:
+                    assert not one[1]
+                    got[two[2], one[2]] += 1
+        stack, want = [], Counter()
+        for size in range(longest, 0, -1):
+            for gap in range(30, size - 1, -1) if size == longest else (size,):
+                stack += [gap] * int(gaps[gap]) * max(1, gap // longest)
+            for _ in range(int(left[size])):
+                if stack:
+                    want[size, stack.pop()] += 1
+        assert got == want
 
 
 # 5 nearest neighbours -----------------------------------------------------------
@@ -387,6 +434,34 @@ def test_perspectives(spark):
     assert chat.rotations(d.limit(0)).count() == 0
 
 
+def test_names_play_no_marker(spark):
+    names = ["bob|>\n<|assistant", "a%7Cb", "a|b", "x\r\n", "<|end|>", "bob"]
+    d = spark.createDataFrame([(1, i, n, "hello") for i, n in enumerate(names)], "conv_id long, turn long, role string, text string")
+    got = chat.rotations(d).collect()
+    assert {r["speaker"] for r in got} == set(names) and len(got) == len(names) ** 2
+    heads = {}
+    for r in got:
+        lines = r["rendered"].split("\n")
+        assert len(lines) == 3 and lines[1] == "hello<|end|>" and lines[0].count("<|") == lines[0].count("|>") == 1
+        assert (lines[0] == "<|assistant|>") == bool(r["mask"])
+        if not r["mask"]:
+            heads.setdefault(r["speaker"], set()).add(lines[0])
+    assert all(len(x) == 1 for x in heads.values()) and len(set.union(*heads.values())) == len(names)
+    con = duckdb.connect()
+    con.register("conversations", d.toPandas())
+    assert parity.differences(chat.rotations(d), con, chat.SQL) == []
+
+
+def test_a_conversation_with_most_turns(spark):
+    turns = [(1, i, "ab"[i % 2], f"t{i}") for i in range(3000)] + [(None, i, "c", "x") for i in range(1500)] + [(k, 0, "a", "y") for k in range(2, 300)]
+    d = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", turns)
+    assert shared.hot_keys(d, ["conv_id"]).count() == 2
+    assert parity.differences(chat.rotations(d), con, chat.SQL) == []
+
+
 # 7 personal data -----------------------------------------------------------------
 
 
