@@ -16,14 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finweave.llm.graph import components
-from finweave.llm.shared import bounded, materialise, working
+from finweave.llm.shared import bounded, free, hot_keys, materialise, spread_join, working
 from finweave.llm.tokens import steps
 
 SHINGLE = 5
 #: BANDS bands of ROWS samples: a pair of similarity 0.8 meets with chance 0.9994.
 BANDS, ROWS = 14, 4
-#: Counters of document frequencies, and the slices they are added up in.
-COUNTERS, SLICES = 1 << 20, 16
+#: Counters of document frequencies, the slices they are added up in, and how many go into one sum.
+COUNTERS, SLICES, FAN = 1 << 20, 16, 64
 #: How much heavier than a shingle of all documents a rare one is, at most.
 IDF_GAIN = 0.25
 #: Weights are rounded to steps of e^(1/32) for sampling (not for verifying).
@@ -111,7 +111,7 @@ def document_frequencies(docs: DataFrame) -> Weights:
                 sums += np.bincount((runs >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
                 n += part.num_rows
         if n:
-            task = TaskContext.get().partitionId() % 64
+            task = TaskContext.get().partitionId()
             parts = [x.astype("<i8" if x.max() >= 1 << 31 else "<i4").tobytes() for x in sums.reshape(SLICES, -1)]
             yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "part": pa.array([task] * SLICES, pa.int32()), "n": pa.array([n] + [0] * (SLICES - 1), pa.int64()), "sums": pa.array(parts, pa.binary())})
 
@@ -120,13 +120,16 @@ def document_frequencies(docs: DataFrame) -> Weights:
         for raw in table["sums"]:
             raw = raw.as_py()
             total += np.frombuffer(raw, "<i4" if len(raw) == 4 * len(total) else "<i8")
-        return pa.Table.from_pydict({"slice": table["slice"][:1].cast(pa.int32()), "part": pa.array([0], pa.int32()), "n": pa.array([pc.sum(table["n"]).as_py()], pa.int64()), "sums": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+        return pa.Table.from_pydict({"slice": table["slice"][:1].cast(pa.int32()), "part": table["part"][:1].cast(pa.int32()), "n": pa.array([pc.sum(table["n"]).as_py()], pa.int64()), "sums": pa.array([total.astype("<i8").tobytes()], pa.binary())})
 
     kind = "slice int, part int, n long, sums binary"
-    rows = bounded(docs).select("text").mapInArrow(count, kind).groupBy("slice", "part").applyInArrow(added, kind).groupBy("slice").applyInArrow(added, kind).collect()
+    rows = bounded(docs).select("text").mapInArrow(count, kind)
+    for _ in range(3):  # a tree: FAN parts of a slice at once, enough for FAN ** 3 tasks
+        rows = rows.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("slice", "part").applyInArrow(added, kind)
+    rows = rows.collect()
     sums, n = np.zeros(COUNTERS), max(1, sum(r["n"] for r in rows))
     for r in rows:
-        sums.reshape(SLICES, -1)[r["slice"]] = np.frombuffer(r["sums"], "<i8")
+        sums.reshape(SLICES, -1)[r["slice"]] += np.frombuffer(r["sums"], "<i8")
     load = sums.mean()
     floor = max(2.0, 4 * load**0.5)
     df = np.clip(sums - load, floor, max(n, floor))
@@ -214,7 +217,8 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float) -> DataFrame:
-    """The pairs (a, b: keys) whose texts reach the similarity, as links."""
+    """The pairs (a, b: keys) whose texts reach the similarity, as links.
+    ``pairs`` is written; a hub ``b`` of many pairs is many tasks."""
     sent = pairs.sparkSession.sparkContext.broadcast(weights)
 
     def vectors(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -233,7 +237,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float)
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one = pairs.join(texts.withColumnsRenamed({"key": "ka", "text": "text_a"}), F.col("a") == F.col("ka")).drop("ka")
-    two = one.join(texts.withColumnsRenamed({"key": "kb", "text": "text_b"}), F.col("b") == F.col("kb")).drop("kb")
+    two = spread_join(one, texts.withColumnsRenamed({"key": "b", "text": "text_b"}), ["b"], ["a"], hot_keys(pairs, ["b"]))
     return bounded(two).select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
@@ -333,7 +337,7 @@ def compared(buckets: DataFrame, texts: DataFrame, weights: Weights, least: floa
     all_ = each.groupBy("v").agg(F.max(F.struct("n", "part", "chars")).alias("top"), F.sum("n").alias("n"), F.sum("chars").alias("chars"))
     number = lambda n, chars: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(chars / BLOCK_CHARS)).cast("int")
     plan = all_.select("v", F.col("top.part").alias("main"), number(F.col("top.n"), F.col("top.chars")).alias("mains"), number(F.col("n") - F.col("top.n"), F.col("chars") - F.col("top.chars")).alias("rests"))
-    dealt = buckets.join(plan, "v").withColumn("is_main", F.col("part") == F.col("main"))
+    dealt = spread_join(buckets, plan, ["v"], ["key"]).withColumn("is_main", F.col("part") == F.col("main"))
     dealt = dealt.withColumn("k", F.pmod(_hash("key", "v"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
     place = lambda main, i, j, first: F.struct(F.lit(main).alias("main"), i.alias("i"), j.alias("j"), F.lit(first).alias("first"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
@@ -386,29 +390,30 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     weights = document_frequencies(docs)
     sig = materialise(sketches(docs, weights), "sketches")
     nodes = materialise(sig.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("at"), F.first("bands").alias("bands")), "nodes")
-    inside = nodes.filter("bands is not null").select("key", F.explode("bands").alias("v"))
-    sizes = inside.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = materialise(inside.join(sizes, "v"), "members")
+    inside = materialise(nodes.filter("bands is not null").select("key", F.explode("bands").alias("v")), "bands")
+    sizes = materialise(inside.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "sizes")
+    hot = materialise(hot_keys(inside, ["v"], sizes), "hot-buckets")
+    members = materialise(spread_join(inside, sizes, ["v"], ["key"], hot).select("key", "v", "n"), "members")
     company = members.groupBy("key").agg(F.sum("n").alias("company"))
     leaders = members.join(company, "key").groupBy("v").agg(F.max(F.struct("company", "key"))["key"].alias("b"))
-    pairs = materialise(members.join(leaders, "v").filter("key != b").select(F.col("key").alias("a"), "b").distinct(), "pairs")
+    pairs = materialise(spread_join(members, leaders, ["v"], ["key"], hot).filter("key != b").select(F.col("key").alias("a"), "b").distinct(), "pairs")
 
     near = members.select("key").distinct().join(nodes, "key").select("key", F.col("at.doc_id").alias("d"), F.col("at.h").alias("th"))
     located = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
     texts = located.join(near, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))).select("key", "text")
-    texts = materialise(texts, "texts")
+    texts = materialise(texts.dropDuplicates(["key"]), "texts")  # rows may repeat
     links = materialise(verified(pairs, texts, weights, least), "links")
     parts = components(links)
 
-    placed = members.join(parts, F.col("key") == F.col("node"), "left").select("v", "n", "key", F.coalesce("label", "key").alias("part"))
+    placed = materialise(members.join(parts, F.col("key") == F.col("node"), "left").select("v", "n", "key", F.coalesce("label", "key").alias("part")), "placed")
     mixed = placed.groupBy("v").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 != p1").select("v")
-    open_ = materialise(placed.join(mixed, "v"), "open")
+    open_ = materialise(spread_join(placed, mixed, ["v"], ["key"], hot), "open")
     few = open_.filter(F.col("n") <= SMALL).select("v", "key", "part")
     big = open_.filter(F.col("n") > SMALL)
     twice = big.groupBy("key", "part").agg(F.sort_array(F.collect_set("v")).alias("vs")).select("key", "part", F.explode("vs").alias("v1"), "vs").select("key", "part", "v1", F.explode("vs").alias("v2")).filter("v1 < v2").select(_hash("v1", "v2").alias("v"), "key", "part")
     twice = materialise(twice, "sub-buckets")
     sub = twice.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("p0"), F.max("part").alias("p1"), F.min(F.struct(_hash("key", "v").alias("x"), "key", "part")).alias("lead")).filter("n > 1 and p0 != p1")
-    met = twice.join(sub, "v")
+    met = materialise(spread_join(twice, sub, ["v"], ["key"]), "met")
     by_leader = met.filter((F.col("n") > SMALL) & (F.col("part") != F.col("lead.part"))).select(F.col("key").alias("a"), F.col("lead.key").alias("b"))
     few = few.unionByName(met.filter(F.col("n") <= SMALL).select("v", "key", "part"))
     # few has at most SMALL rows of a v
@@ -421,9 +426,9 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     if not found.isEmpty():
         links = links.union(found)
         parts = components(links)
-    apart = big.select("v", "key").join(parts, F.col("key") == F.col("node"), "left").select("v", "key", F.coalesce("label", "key").alias("part"))
+    apart = materialise(big.select("v", "key").join(parts, F.col("key") == F.col("node"), "left").select("v", "key", F.coalesce("label", "key").alias("part")), "parts")
     mixed = apart.groupBy("v").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).filter("p0 != p1").select("v")
-    apart = materialise(apart.join(mixed, "v"), "apart")
+    apart = materialise(spread_join(apart, mixed, ["v"], ["key"], hot), "apart")
     if not apart.isEmpty():
         found = materialise(compared(apart, texts, weights, least), "links")
         if not found.isEmpty():
@@ -431,7 +436,7 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     named = nodes.select("key", "at").join(parts, F.col("key") == F.col("node"), "left").select("key", "at", F.coalesce("label", "key").alias("part"))
     least_id = named.groupBy("part").agg(F.min("at").alias("first"))
     named = named.join(least_id, "part").select("key", F.col("first.doc_id").alias("class_id"))
-    return sig.select("doc_id", "h", "key").join(named, "key")
+    return spread_join(sig.select("doc_id", "h", "key"), named, ["key"], ["doc_id", "h"])
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -443,9 +448,10 @@ def deduplicated(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """One row of each class, with the columns of ``docs``: the one with the
     least doc_id, then the least text hash; of rows that agree in both, any."""
     best = classes(docs, least).groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("key")).alias("k")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "h")).alias("at"))
-    best = materialise(best.select(F.col("at.doc_id").alias("__d"), F.col("at.h").alias("__h")), "kept").distinct()
-    keyed = docs.withColumn("__t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    met = keyed.join(best, keyed["doc_id"].cast("long").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__h")))
+    d, h, t = free(docs, "__d"), free(docs, "__h"), free(docs, "__t")
+    best = materialise(best.select(F.col("at.doc_id").alias(d), F.col("at.h").alias(h)), "kept").distinct()
+    keyed = docs.withColumn(t, F.xxhash64(F.coalesce("text", F.lit(""))))
+    met = keyed.join(best, keyed["doc_id"].cast("long").eqNullSafe(F.col(d)) & (F.col(t) == F.col(h)))
     if docs.select("doc_id", "text").groupBy("doc_id", F.xxhash64("text").alias("h")).count().filter("count > 1").isEmpty():
         return met.select(*docs.columns)
-    return met.dropDuplicates(["__d", "__h"]).select(*docs.columns)
+    return met.dropDuplicates([d, h]).select(*docs.columns)

@@ -67,22 +67,24 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 HOT_ROWS = 512
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def hot_keys(df: DataFrame, keys: Sequence[str], sizes: DataFrame | None = None) -> DataFrame:
     """``keys`` and parts (int, 2 or more) of the keys that have more rows than
     HOT_ROWS and than a quarter of a mean shuffle partition. So they are fewer
-    than four times the shuffle partitions, however large ``df`` is."""
-    spark = df.sparkSession
-    sizes = materialise(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > HOT_ROWS), "sizes")
-    least = max(HOT_ROWS, df.count() // (4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    return sizes.filter(F.col("__n") > least).select(*keys, F.ceil(F.col("__n") / least).cast("int").alias("__parts"))
-
-
-def spread_join(many: DataFrame, few: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Null-safe inner equi-join of a written side with hot keys to one with
-    few rows of each key: rows of a hot key are dealt to parts by a hash of
-    ``by`` (all columns, if none are named), and the other side's rows of that
-    key go to each part. The list of hot keys is broadcast; ``hot_keys`` bounds it."""
-    hot = materialise(hot_keys(many, keys), "hot-keys")
+    than four times the shuffle partitions, however large ``df`` is. ``sizes``:
+    keys and their numbers of rows (column n), if these are known."""
+    if sizes is None:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    least = max(HOT_ROWS, df.count() // (4 * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    return sizes.filter(F.col("n") > least).select(*keys, F.ceil(F.col("n") / least).cast("int").alias("__parts"))
+
+
+def spread_join(many: DataFrame, few: DataFrame, keys: Sequence[str], by: Sequence[str] = (), hot: DataFrame | None = None) -> DataFrame:
+    """Null-safe inner equi-join of a side with hot keys to one with few rows
+    of each key: rows of a hot key are dealt to parts by a hash of ``by`` (all
+    columns, if none are named), and the other side's rows of that key go to
+    each part. ``hot`` is what ``hot_keys`` finds (in ``many``, which is best
+    written then, if it isn't given); it is broadcast, within that bound."""
+    hot = materialise(hot_keys(many, keys) if hot is None else hot, "hot-keys")
     if hot.isEmpty():
         return join_same(many, few, keys)
     hot = F.broadcast(hot)

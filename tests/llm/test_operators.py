@@ -179,6 +179,76 @@ def test_pairs_in_a_group_of_one_boilerplate(spark, monkeypatch, block):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def plain_similarity(a: str, b: str, gain: float) -> float:
+    """Jaccard of five-word shingles weighted 1 + ln times, those of one text alone (or, if it is negative, common ones) heavier by ``gain``."""
+
+    def vector(text):
+        w = re.findall(r"[^\W_]+", text.lower())
+        return {s: 1 + math.log(k) for s, k in Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))).items()}
+
+    x, y = vector(a), vector(b)
+    common = {s: min(v, y[s]) for s, v in x.items() if s in y}
+    rest = sum(x.values()) + sum(y.values()) - 2 * sum(common.values())
+    least = sum(common.values()) * (1 + max(0, -gain))
+    return least / (least + rest * (1 + max(0, gain)))
+
+
+def test_classes_match_an_independent_version(spark):
+    """Nothing of the operator is used; its idf lies within 1 .. 1.25, and no
+    pair of these texts is so near to 0.8 that it could decide."""
+    g = random.Random(31)
+    word = lambda: "".join(g.choice("bdfgklmnprst") + g.choice("aeiou") for _ in range(3))
+    texts = []
+    for _ in range(40):
+        base = [word() for _ in range(g.randint(170, 260))]
+        texts.append(" ".join(base))
+        for _ in range(g.randint(0, 4)):
+            t = list(base)
+            t[g.randrange(len(t))] = word()
+            texts.append(" ".join(t))
+        for k in range(0, len(base), 7):
+            base[k] = word()
+        texts.append(" ".join(base))
+    texts += [texts[0].upper(), texts[3] + "!", "", " ", "one two"]
+    want = list(range(len(texts)))
+
+    def find(x):
+        while want[x] != x:
+            x = want[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if texts[i].strip() and texts[j].strip():
+            low, high = (plain_similarity(texts[i], texts[j], gain) for gain in (0.25, -0.25))
+            assert low > 0.8 or high < 0.8
+            if low > 0.8:
+                want[max(find(i), find(j))] = min(find(i), find(j))
+    g.shuffle(order := list(range(len(texts))))
+    d = spark.createDataFrame([(i, texts[i], "x", 1) for i in order], "doc_id long, text string, __h string, __t int")
+    got = dict(near.near_duplicates(d).collect())
+    assert [got[i] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+    kept = near.deduplicated(d)
+    assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {find(i) for i in range(len(texts))}
+
+
+def test_pairs_of_repeated_rows(spark):
+    """Rows that repeat a thousand times are compared once."""
+    a = " ".join(f"w{i}" for i in range(200))
+    d = spark.createDataFrame([(1, a)] * 1500 + [(2, a.replace("w7 ", "x "))] * 1500 + [(None, None)] * 1500, "doc_id long, text string")
+    got = Counter(tuple(r) for r in near.near_duplicates(d).collect())
+    assert got == {(1, 1): 1500, (2, 1): 1500, (None, None): 1500}
+    assert near.deduplicated(d).count() == 2
+
+
+def test_hot_keys_are_bounded(spark):
+    d = spark.range(40_000).select(F.when(F.col("id") < 30_000, F.lit(None)).otherwise(F.col("id") % 1000).alias("k"), "id")
+    few = spark.range(1000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), (F.col("id") * 2).alias("v"))
+    assert shared.hot_keys(d, ["k"]).count() == 1
+    got = shared.spread_join(d, few, ["k"])
+    assert got.columns == ["k", "id", "v"]
+    assert got.count() == 30_000 + d.filter("k > 0").count() and got.filter("v != coalesce(k, 0) * 2").count() == 0
+
+
 def test_overlaps_match_single_pairs():
     g = random.Random(2)
     texts = [" ".join(g.choice("ab") for _ in range(g.randint(0, 90))) for _ in range(40)] + ["", "a b c d e " * 30]
