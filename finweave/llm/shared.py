@@ -67,14 +67,14 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 HOT_ROWS = 512
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], sizes: DataFrame | None = None) -> DataFrame:
+def hot_keys(df: DataFrame, keys: Sequence[str], sizes: DataFrame | None = None, least: int = HOT_ROWS) -> DataFrame:
     """``keys`` and parts (int, 2 or more) of the keys that have more rows than
-    HOT_ROWS and than a quarter of a mean shuffle partition. So they are fewer
+    ``least`` and than a quarter of a mean shuffle partition. So they are fewer
     than four times the shuffle partitions, however large ``df`` is. ``sizes``:
     keys and their numbers of rows (column n), if these are known."""
     if sizes is None:
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    least = max(HOT_ROWS, df.count() // (4 * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    least = max(least, df.count() // (4 * max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
     return sizes.filter(F.col("n") > least).select(*keys, F.ceil(F.col("n") / least).cast("int").alias("__parts"))
 
 

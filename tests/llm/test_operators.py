@@ -482,6 +482,69 @@ def test_few_vectors_find_all(spark):
     assert ann.search(d.limit(0), F.lit(True)).count() == 0
 
 
+def test_probes_are_distinct_neighbours():
+    g = np.random.default_rng(3)
+    for m in (4, 6, 8, 12):
+        at = g.normal(size=m) * 3
+        steps = ann.probes(at, 300)
+        assert not steps[0].any() and np.abs(steps).max() == 1
+        assert len({tuple(x) for x in steps}) == len(steps) == min(300, 3**m)
+        low = at - np.floor(at)
+        cost = (np.where(steps == -1, low, 0) ** 2 + np.where(steps == 1, 1 - low, 0) ** 2).sum(1)
+        early, late = cost[: len(cost) // 4].mean(), cost[-len(cost) // 4 :].mean()
+        assert early < late
+    assert len({tuple(x) for x in ann.probes(np.array([0.5, 1.5, 2.5, 3.5]), 81)}) == 81
+
+
+def test_a_vector_that_most_rows_have(spark, monkeypatch):
+    """Equal vectors among rows and queries, grids of tasks, ties by id."""
+    monkeypatch.setattr(ann, "LOAD", 64)
+    monkeypatch.setattr(ann, "QUERIES", 2)
+    monkeypatch.setattr(shared, "HOT_ROWS", 8)
+    g = np.random.default_rng(6)
+    x = g.normal(size=(900, 12)).astype(np.float32)
+    x[np.arange(900) % 3 == 0] = x[0]
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(3, x[0].tolist())] * 200
+    d = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(d, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 900, 50))
+    x = x.astype(float)
+    hits = 0
+    for q, mine in got.items():
+        want = sorted((-ann.cosine(x[q], x[i]), i) for i in range(900) if i != q)[:5]
+        assert all(math.isclose(s, ann.cosine(x[q], x[i]), abs_tol=1e-15) for i, s in mine) and len(mine) == 5
+        assert mine == sorted(mine, key=lambda r: (-r[1], r[0]))
+        hits += len({i for i, _ in mine} & {i for _, i in want})
+        if q % 3 == 0:
+            assert [i for i, _ in mine] == [i for _, i in want]
+    assert hits >= 0.9 * 5 * len(got)
+
+
+def test_index_visits_less_where_neighbours_are_near(spark):
+    g = np.random.default_rng(8)
+    x = np.repeat(g.normal(size=(200, 32)), 20, 0) + 0.3 * g.normal(size=(4000, 32))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    rows = shared.materialise(ann.prepared(d, 8).select("id", "vector"), "t")
+    index = ann.fit(rows, 5, 8, 11)
+    assert index.recall >= 0.95 and index.share < 0.2 and index.projections > ann.FEWEST
+    assert index == ann.fit(rows, 5, 8, 11)
+
+
+def test_exact_search_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LOAD", 50)
+    monkeypatch.setattr(ann, "QUERIES", 3)
+    g = np.random.default_rng(4)
+    x = g.normal(size=(300, 6))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    rows = shared.materialise(ann.prepared(d, 8).select("id", "vector"), "t")
+    got = {}
+    for r in ann.in_blocks(rows, rows.filter("id % 30 = 0"), 4, 8).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [i for _, i in sorted((-ann.cosine(x[q], x[i]), i) for i in range(300))[:4]] for q in range(0, 300, 30)}
+
+
 # 6 chat ------------------------------------------------------------------------
 
 
