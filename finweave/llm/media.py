@@ -89,16 +89,47 @@ def mux(payload: bytes) -> bytes:
     return np.concatenate(parts).tobytes()
 
 
+def _start(packets: np.ndarray) -> np.ndarray:
+    """Where the payload of each packet starts; past its end if it has none."""
+    control = packets[:, 3] >> 4 & 3
+    after = np.where(control & 2 > 0, 5 + packets[:, 4].astype(np.int32), 4)
+    return np.where(control & 1 > 0, np.minimum(after, PACKET), PACKET)
+
+
+def _pids(packets: np.ndarray) -> np.ndarray:
+    return (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
+
+
 def _read_section(packets: np.ndarray, pid: int, table_id: int) -> bytes | None:
-    pids = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
-    for row in packets[(pids == pid) & (packets[:, 1] & 0x40 > 0)]:
-        start = 4 + (1 + int(row[4]) if row[3] & 0x20 else 0)
+    """The first whole section of a table with a right checksum. A section may
+    go on over packets; a packet may end one and start others."""
+    mine = packets[_pids(packets) == pid]
+    waiting: bytes | None = None
+    last = -1
+    for row, start in zip(mine, _start(mine), strict=True):
+        if start >= PACKET:
+            continue
+        counter = int(row[3]) & 15
+        if counter == last:  # a packet sent twice
+            continue
+        if last >= 0 and counter != (last + 1) % 16:
+            waiting = None
+        last = counter
         raw = row[start:].tobytes()
-        raw = raw[1 + raw[0] :]
-        length = struct.unpack(">H", raw[1:3])[0] & 0xFFF
-        section = raw[: 3 + length]
-        if raw[0] == table_id and len(section) == 3 + length and crc32_mpeg(section[:-4]) == struct.unpack(">I", section[-4:])[0]:
-            return section
+        if row[1] & 0x40:
+            parts = [(waiting + raw[1 : 1 + raw[0]]) if waiting is not None else b"", raw[1 + raw[0] :]]
+        else:
+            parts = [waiting + raw] if waiting is not None else []
+        for k, part in enumerate(parts):
+            while len(part) >= 3 and part[0] != 0xFF:
+                length = 3 + (struct.unpack(">H", part[1:3])[0] & 0xFFF)
+                if len(part) < length:
+                    break
+                section, part = part[:length], part[length:]
+                if section[0] == table_id and length >= 12 and crc32_mpeg(section[:-4]) == struct.unpack(">I", section[-4:])[0]:
+                    return section
+            if k == len(parts) - 1:
+                waiting = part if part and part[0] != 0xFF else None
     return None
 
 
@@ -106,16 +137,19 @@ def demux(stream: bytes | None) -> dict | None:
     """What a stream holds: the payload put together again, its PIDs and type,
     counted packets, continuity errors, and (packet, byte, pts) of every
     random-access point. Null is null; damaged parts are counted, not fatal:
-    packets without sync byte and elementary packets cut short or without a
-    start code are left out."""
+    packets without sync byte or with the mark of a transport error and
+    elementary packets cut short or without a start code are left out. Program
+    tables may go on over packets; packets sent twice count once; those without
+    payload and announced jumps are no continuity errors. Of several programs
+    or elementary streams the first is read."""
     if stream is None:
         return None
     found = {"payload": b"", "pmt_pid": -1, "es_pid": -1, "stream_type": -1, "packets": len(stream) // PACKET, "elementary": 0, "continuity_errors": 0, "broken": 0, "access": []}
     packets = np.frombuffer(stream, np.uint8, found["packets"] * PACKET).reshape(-1, PACKET)
-    synced = packets[:, 0] == SYNC
-    found["broken"] = int((~synced).sum())
-    where = np.flatnonzero(synced)
-    packets = packets[synced]
+    fine = (packets[:, 0] == SYNC) & (packets[:, 1] & 0x80 == 0)
+    found["broken"] = int((~fine).sum())
+    where = np.flatnonzero(fine)
+    packets = packets[fine]
     pat = _read_section(packets, PAT_PID, 0)
     if pat is None:
         return found
@@ -126,18 +160,24 @@ def demux(stream: bytes | None) -> dict | None:
     at = 12 + (struct.unpack(">H", pmt[10:12])[0] & 0xFFF)
     found["stream_type"], pid = struct.unpack(">BH", pmt[at : at + 3])
     found["es_pid"] = pid & 0x1FFF
-    mine = ((packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]) == found["es_pid"]
+    mine = _pids(packets) == found["es_pid"]
     rows, where = packets[mine], where[mine]
     if not len(rows):
         return found
+    # the counter counts packets with payload; one of them may be sent twice, and a mark may announce a jump
     counter = (rows[:, 3] & 15).astype(np.int16)
-    found["continuity_errors"] = int(((counter[1:] - counter[:-1]) % 16 != 1).sum())
-    adapted = rows[:, 3] & 0x20 > 0
-    start = np.minimum(np.where(adapted, 5 + rows[:, 4].astype(np.int32), 4), PACKET)
+    carries = rows[:, 3] & 0x10 > 0
+    adapted = (rows[:, 3] & 0x20 > 0) & (rows[:, 4] > 0)
+    step = np.append(0, (counter[1:] - counter[:-1]) % 16)
+    twice = np.append(False, (step[1:] == 0) & carries[1:] & (rows[1:, 6:] == rows[:-1, 6:]).all(1))
+    wrong = (step != carries) & ~twice & ~(adapted & (rows[:, 5] & 0x80 > 0))
+    found["continuity_errors"] = int(wrong[1:].sum())
+    rows, where, adapted = rows[~twice], where[~twice], adapted[~twice]
+    start = _start(rows)
     data = rows[np.arange(PACKET) >= start[:, None]]
     ends = np.cumsum(PACKET - start)
     opens = np.flatnonzero(rows[:, 1] & 0x40 > 0)
-    access = adapted & (rows[:, 4] > 0) & (rows[:, 5] & 0x40 > 0)
+    access = adapted & (rows[:, 5] & 0x40 > 0)
     out, size = [], 0
     for a, b in zip(opens, [*opens[1:], len(rows)], strict=True):
         pes = data[(ends[a] - (PACKET - start[a])) : ends[b - 1]].tobytes()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from finweave.llm.shared import join_same, materialise, prefix_sum
+from finweave.llm.shared import free, join_same, materialise, prefix_sum
 
 #: Sources up to which their targets are sent to all executors.
 BROADCAST_SOURCES = 100_000
@@ -99,12 +99,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3.0
     of one document: one of them stands for all, with their copies added up."""
     cols = docs.columns
     p = plan(docs, weights, most, seed).groupBy("doc_id", "source", "digest").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).filter("__copies > 0")
-    p = materialise(p, "copies").withColumnsRenamed({"doc_id": "__d", "source": "__s", "digest": "__g"})
-    keyed = docs.withColumn("__digest", F.md5(F.coalesce("text", F.lit(""))))
-    if not p.filter("__rows > 1").isEmpty():
-        keyed = keyed.dropDuplicates(["doc_id", "source", "__digest"])
-    met = keyed.join(p, keyed["doc_id"].cast("long").eqNullSafe(p["__d"]) & keyed["source"].eqNullSafe(p["__s"]) & (keyed["__digest"] == p["__g"]))
-    return met.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*cols)
+    # names of its own beside those of docs
+    d, s, g, n, rows, digest, i = (free(docs, x) for x in ("__d", "__s", "__g", "__copies", "__rows", "__digest", "__i"))
+    p = materialise(p, "copies").withColumnsRenamed({"doc_id": d, "source": s, "digest": g, "__copies": n, "__rows": rows})
+    keyed = docs.withColumn(digest, F.md5(F.coalesce("text", F.lit(""))))
+    if not p.filter(F.col(rows) > 1).isEmpty():
+        keyed = keyed.dropDuplicates(["doc_id", "source", digest])
+    met = keyed.join(p, keyed["doc_id"].cast("long").eqNullSafe(p[d]) & keyed["source"].eqNullSafe(p[s]) & (keyed[digest] == p[g]))
+    return met.withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*cols)
 
 
 SQL = r"""

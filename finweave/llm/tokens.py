@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -244,6 +245,8 @@ class TokenFile:
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path as Spark names it: local, hdfs, s3a (s3n), gs, abfs(s)."""
+    uri = re.sub(r"^s3[an]:", "s3:", uri)
     if "://" not in uri and uri.startswith("file:"):
         uri = "file://" + uri[5:]
     return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)

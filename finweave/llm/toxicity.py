@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from finweave.llm.shared import bounded, working
+from finweave.llm.shared import bounded, free, working
 from finweave.llm.tokens import steps
 
 # Letters that a sign may stand for.
@@ -222,22 +222,27 @@ def doc_features(model: Model, text: str) -> Counter:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """text and toxic of labelled rows that are not held out: all, or the
-    ``most`` of least hash. Their number bounds what is sent to executors."""
+    """text and toxic of labelled documents that are not held out: all, or the
+    ``most`` of least hash, which bounds what is sent to executors. Of rows
+    that share a doc_id one counts, that with the least text hash."""
     ids = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").alias("toxic"))
     ids = ids.filter(~held_out(F.col("__id"))).orderBy(F.xxhash64("__id"), "__id").limit(most)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("text", "toxic")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
+    return rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
 def held_out(doc_id) -> object:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, top: int = 3_000, ridge: float = 0.05) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, top: int = 3_000, gain: float = 10.0, fewest: int = 3, ridge: float = 0.05) -> Model:
     """Language model from all documents; classifier from up to ``most``
-    labelled rows: features (restored words and beginnings) whose presence
-    differs between labels, by the likelihood ratio, weighted by a ridge
-    logistic regression. Without labels of both kinds nothing is toxic."""
+    labelled rows. Its features are restored words and their beginnings, by how
+    often they occur, in training as in scores. Selection, by presence in
+    documents: those in ``fewest`` or more toxic ones whose signed likelihood
+    ratio towards toxic is above ``gain``, the ``top`` of them; so only words
+    that speak for toxicity weigh. A ridge logistic regression weights them.
+    Without labels of both kinds nothing is toxic."""
     model = Model(language_model(character_counts(docs)))
     rows = labelled(docs, labels, most)
 
@@ -252,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, top: int = 3_000
         yield pa.RecordBatch.from_pydict({"f": pa.array(names, pa.string()), "n0": pa.array([counts[0][x] for x in names], pa.int64()), "n1": pa.array([counts[1][x] for x in names], pa.int64())})
 
     sums = rows.mapInArrow(tally, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    sums = sums.filter("f = '' or n1 >= 3").collect()
+    sums = sums.filter((F.col("f") == "") | (F.col("n1") >= fewest)).collect()
     n0, n1 = next(((r["n0"], r["n1"]) for r in sums if r["f"] == ""), (0, 0))
     if not n0 or not n1:
         model.bias = -6.0
@@ -265,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, top: int = 3_000
         return (1 if b / n1 > a / n0 else -1) * 2 * (part(a, n0) + part(b, n1))
 
     ranked = sorted(((ratio(r["n0"], r["n1"]), r["f"]) for r in sums if r["f"]), reverse=True)
-    names = [f for g, f in ranked[:top] if g > 10]
+    names = [f for g, f in ranked[:top] if g > gain]
     index = {f: i for i, f in enumerate(names)}
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, top: int = 3_000
             hits = []
             for text in batch["text"].to_pylist():
                 c = doc_features(model, text or "")
-                hits.append([(index[f], min(n, 20)) for f, n in c.items() if f in index])
+                hits.append([(index[f], n) for f, n in c.items() if f in index])
             yield pa.RecordBatch.from_arrays([batch["toxic"].cast(pa.int32()), pa.array([[i for i, _ in h] for h in hits], pa.list_(pa.int32())), pa.array([[n for _, n in h] for h in hits], pa.list_(pa.int32()))], names=["y", "f", "n"])
 
     got = rows.mapInArrow(sparse, "y int, f array<int>, n array<int>").collect()
@@ -335,5 +340,5 @@ def scored(docs: DataFrame, labels: DataFrame, least: float = 0.7, most: int = 1
 
 def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.7, most: int = 12_000) -> DataFrame:
     """The documents that are not toxic, with the columns of ``docs``."""
-    name = "__toxicity"
+    name = free(docs, "__toxicity")
     return score(docs, fit(docs, labels, most), name).filter(F.col(name) < least).drop(name)

@@ -36,3 +36,40 @@ def test_plain_tokens_stay(model):
         assert model.words(token) == [], token
     assert model.words("all") == ["all"] and model.words("bado!") == ["bado"]
     assert "stuupid" in model.words("stuupid")
+
+
+def every_path(model, token):
+    """The least cost over all ways through the lattice, and the readings that have it."""
+    lm, best = model.lm, {}
+
+    def go(i, a, b, kept, out, cost):
+        if i == len(token):
+            total = cost + lm[a, b, 0]
+            best[out] = min(best.get(out, total), total)
+            return
+        c = token[i]
+        if c.isalpha():
+            s = toxicity.symbol(c)
+            go(i + 1, b, s, c, out + c, cost + lm[a, b, s])
+            if kept == c:
+                go(i + 1, a, b, kept, out, cost + toxicity.REPEAT)
+            return
+        for z in toxicity.LEET.get(c, ""):
+            s = toxicity.symbol(z)
+            go(i + 1, b, s, z, out + z, cost + lm[a, b, s] + toxicity.SWAP)
+            if kept == z and i and token[i - 1] == c:
+                go(i + 1, a, b, kept, out, cost + toxicity.REPEAT)
+        go(i + 1, a, b, kept, out, cost + (toxicity.DROP if c in toxicity.LEET else 0.0))
+        if c not in toxicity.LEET and b:
+            go(i + 1, b, 0, "", out + " ", cost + lm[a, b, 0] + toxicity.BORDER)
+
+    go(0, 0, 0, "", "", 0.0)
+    least = min(best.values())
+    return {x for x, v in best.items() if v <= least + 1e-9}
+
+
+def test_search_finds_the_best_of_all_paths(model):
+    g = random.Random(17)
+    for _ in range(400):
+        token = "".join(g.choice("stupidaso1034$@!|+.-_*é77") for _ in range(g.randint(1, 9)))
+        assert model.restore(token) in every_path(model, token), token

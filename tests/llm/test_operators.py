@@ -101,6 +101,53 @@ def test_damaged_streams_are_counted():
     assert media.demux(b"\x00" * 188)["payload"] == b""
 
 
+def _packets(stream):
+    return [stream[i : i + 188] for i in range(0, len(stream), 188)]
+
+
+def test_streams_of_others():
+    data = bytes(range(256)) * 100
+    s = media.mux(data)
+    p = _packets(s)
+    good = media.demux(s)
+    twice = media.demux(b"".join([*p[:6], p[5], *p[6:]]))
+    assert twice["payload"] == data and twice["continuity_errors"] == 0 and twice["packets"] == len(p) + 1
+    # a packet without payload has the counter of the one before
+    bare = bytearray(b"\xff" * 188)
+    bare[:6] = bytes([0x47, p[5][1] & 0x1F, p[5][2], 0x20 | p[5][3] & 15, 183, 0])
+    silent = media.demux(b"".join([*p[:6], bytes(bare), *p[6:]]))
+    assert silent["payload"] == data and silent["continuity_errors"] == 0
+    bad = bytearray(p[5])
+    bad[1] |= 0x80
+    torn = media.demux(b"".join([*p[:5], bytes(bad), *p[6:]]))
+    assert torn["broken"] == 2 and torn["continuity_errors"] == 1 and len(torn["payload"]) == len(data) - media.UNIT
+    # an announced jump of the counter
+    k = next(i for i in range(3, len(p)) if p[i][1] & 0x40 and i > 10)
+    jump = [bytearray(x) for x in p]
+    for i in range(k, len(jump)):
+        jump[i][3] = jump[i][3] & 0xF0 | (jump[i][3] + 5) & 15
+    assert media.demux(b"".join(map(bytes, jump)))["continuity_errors"] == 1
+    jump[k][5] |= 0x80
+    told = media.demux(b"".join(map(bytes, jump)))
+    assert told["continuity_errors"] == 0 and told["payload"] == data and told["access"] == good["access"]
+
+
+def test_program_tables_over_packets():
+    import struct
+
+    p = _packets(media.mux(b"x" * 576))
+    info = bytes([0x05, 200]) + b"i" * 200  # a descriptor that does not fit into one packet
+    body = struct.pack(">HH", 0xE000 | media.ES_PID, 0xF000 | len(info)) + info + struct.pack(">BHH", media.STREAM_TYPE, 0xE000 | media.ES_PID, 0xF000)
+    raw = b"\0" + media._section(2, media.PROGRAM, body)
+    head = lambda start, n: struct.pack(">BHB", 0x47, (0x4000 if start else 0) | media.PMT_PID, 0x10 | n)
+    one, two = head(True, 0) + raw[:184], (head(False, 1) + raw[184:]).ljust(188, b"\xff")
+    got = media.demux(b"".join([p[0], one, two, *p[2:]]))
+    assert got["payload"] == b"x" * 576 and got["stream_type"] == media.STREAM_TYPE
+    assert media.demux(b"".join([p[0], one, *p[2:]]))["es_pid"] == -1
+    rest = head(True, 1) + bytes([len(raw) - 184]) + raw[184:]  # ends one section where a pointer says
+    assert media.demux(b"".join([p[0], one, rest.ljust(188, b"\xff"), *p[2:]]))["payload"] == b"x" * 576
+
+
 def test_media_columns(spark):
     d = frame(spark).withColumn("payload", media.padded(F.col("text")))
     out = media.decode(media.encode(d))
@@ -711,6 +758,32 @@ def test_entropy_windows_match_a_recount():
         assert math.isclose(bits, -sum(n / 20 * math.log2(n / 20) for n in c.values()), abs_tol=1e-9)
 
 
+def test_entropy_spans_match_a_recount():
+    g = random.Random(12)
+    sets = ["0123456789", "abcdef0123456789", "abcdefghij", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "aAbBcCdDeEfFgGhHiI", "aZ09+/_=-xYq", "aaab"]
+    for _ in range(300):
+        text = " ".join("".join(g.choice(g.choice(sets)) if g.random() < 0.1 else g.choice(chars) for _ in range(g.randint(15, 70))) for chars in g.choices(sets, k=3))
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+            if any(p.fullmatch(m[0]) for p in secrets.ALLOW):
+                continue
+            covered = set()
+            for at in range(len(m[0]) - 19):
+                w = m[0][at : at + 20]
+                bits = -sum(n / 20 * math.log2(n / 20) for n in Counter(w).values())
+                least = next(t for _, chars, t in secrets.CLASSES if set(w) <= chars)
+                if bits >= least - 1e-9:
+                    covered |= set(range(m.start() + at, m.start() + at + 20))
+            edges = sorted(covered)
+            starts = [x for x in edges if x - 1 not in covered]
+            want += [(x, next(y for y in range(x, len(text) + 1) if y not in covered)) for x in starts]
+        # touching windows of one string are one span here and two there
+        got = set()
+        for a, b in secrets.entropy_spans(text):
+            got |= set(range(a, b))
+        assert got == {x for a, b in want for x in range(a, b)}
+
+
 def test_entropy_adds_and_allow_list_suppresses():
     key = "q7Zt9xLw2Vb8Nc4Rk6Jm1Hs3"
     assert [k for _, k, _ in secrets.scan(f"see {key} there")[1]] == [3]
