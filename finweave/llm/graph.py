@@ -16,15 +16,16 @@ def components(links: DataFrame) -> DataFrame:
     (partial aggregates keep a hub's edges apart; its join partition can be
     split), then follows labels of labels. Both halve distances, so long chains
     take a logarithmic number of rounds; the state is written between rounds.
+    When neighbours change nothing, all of a component have one label.
     """
     edges = materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    kind = edges.schema["a"].dataType
     labels = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("label")), "labels")
     while True:
-        seen = edges.join(labels, edges["b"] == labels["node"]).groupBy(F.col("a").alias("to")).agg(F.min("label").alias("near"))
-        near = labels.join(seen, labels["node"] == seen["to"], "left").select("node", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("old"))
+        seen = edges.join(labels, edges["b"] == labels["node"]).select(F.col("a").alias("node"), "label", F.lit(None).cast(kind).alias("old"))
+        near = seen.unionByName(labels.select("node", "label", F.col("label").alias("old"))).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         near = materialise(near, "labels")
+        if near.filter("label < old").isEmpty():
+            return labels
         up = near.select(F.col("node").alias("via"), F.col("label").alias("higher"))
-        new = materialise(near.join(up, near["label"] == up["via"]).select("node", F.least("label", "higher").alias("label"), "old"), "labels")
-        if new.filter("label < old").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+        labels = materialise(near.join(up, near["label"] == up["via"]).select("node", F.least("label", "higher").alias("label")), "labels")

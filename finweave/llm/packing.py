@@ -7,14 +7,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from finweave.llm.shared import bounded, materialise, prefix_sum
 from finweave.llm.tokens import encoded
 
-#: Least number of buckets that split rows of equal length, and rows of all to a bucket beyond it.
+#: Buckets that split sequences of equal gap; at least as many split pieces of
+#: equal length: one more for each CELL pieces.
 BUCKETS, CELL = 256, 500_000
 #: Pieces of which fewer fill a sequence have sequences opened for their own class.
 CLASSES = 6
@@ -94,27 +95,49 @@ def depths(gaps: np.ndarray, left: np.ndarray) -> tuple[list[tuple[int, int, int
     return slots, pops
 
 
-def superstep(state: DataFrame, ordered: DataFrame, slots: list, pops: list, done: np.ndarray, capacity: int, buckets: int) -> DataFrame:
-    """length, rank, sequence_id and offset of the pieces that find a place in
-    the open sequences ``state`` (seq, gap). ``ordered``: length and rank of all
-    pieces, of which the first ``done`` of each length have their places."""
+def superstep(state: DataFrame, cells: dict[tuple[int, int], int], ordered: DataFrame, gaps: np.ndarray, left: np.ndarray, done: np.ndarray) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """One superstep, and (length, level, pieces placed) of each length.
+
+    ``state``: the open sequences (seq, gap); ``cells``: how many there are of
+    each gap in each bucket; ``ordered``: length and rank of all pieces, of
+    which the first ``done`` of each length have their places. The rows are seq
+    and slot, the gap that is left then and, of slots that found a piece, its
+    length, rank and offset.
+    """
     spark, c = state.sparkSession, F.col
+    capacity = len(left) - 1
+    slots, pops = depths(gaps, left)
     longest = max(x for x, _, _ in pops)
-    held = F.broadcast(spark.createDataFrame(slots, "gap int, base long, each int, floor long"))
-    cells = state.withColumns({"bucket": F.pmod(F.xxhash64("seq"), F.lit(buckets)).cast("int"), "one": F.lit(1).cast("long")})
-    gaps = prefix_sum(cells, ["gap"], ["bucket"], [c("seq")], "one", "nth").join(held, "gap").withColumn("first", c("base") + c("nth") * c("each"))
-    gaps = gaps.filter(c("first") + c("each") > c("floor"))
-    gaps = gaps.withColumn("slot", F.explode(F.sequence(F.greatest(F.lit(0), (c("floor") - c("first")).cast("int")), c("each") - 1)))
-    offers = gaps.select(F.least("gap", F.lit(longest)).alias("size"), (c("first") + c("slot")).alias("level"), F.lit(None).cast("long").alias("rank"), F.struct("seq", "gap", "slot").alias("at"))
-    wanted = F.broadcast(spark.createDataFrame([(s, top, n, int(done[s])) for s, top, n in pops], "size int, top long, n long, done long"))
+    offered = {gap: (base, each, floor) for gap, base, each, floor in slots}
+    held, at = [], dict.fromkeys(offered, 0)
+    for (gap, bucket), n in sorted(cells.items()):
+        if gap in offered:
+            base, each, floor = offered[gap]
+            held.append((gap, bucket, base + at[gap] * each, each, floor))
+            at[gap] += n
+    held = F.broadcast(spark.createDataFrame(held, "gap int, bucket int, base long, each int, floor long"))
+    nth = F.row_number().over(Window.partitionBy("gap", "bucket").orderBy("seq")) - 1
+    open_ = state.withColumn("bucket", bucket_of(c("seq"))).withColumn("nth", nth).join(held, ["gap", "bucket"]).withColumn("first", c("base") + c("nth") * c("each"))
+    # slots that no piece reaches are left out, but for one that carries the sequence on
+    low = F.greatest(F.lit(0), F.least((c("floor") - c("first")).cast("int"), c("each") - 1))
+    open_ = open_.withColumn("slot", F.explode(F.sequence(low, c("each") - 1)))
+    none = F.lit(None)
+    offers = open_.select(F.least("gap", F.lit(longest)).alias("size"), (c("first") + c("slot")).alias("level"), none.cast("long").alias("rank"), "seq", "gap", "slot")
+    wanted = F.broadcast(spark.createDataFrame([(x, top, n, int(done[x])) for x, top, n in pops], "size int, top long, n long, done long"))
     asked = ordered.filter(c("length").between(min(x for x, _, _ in pops), longest)).select(c("length").alias("size"), "rank").join(wanted, "size").filter((c("rank") >= c("done")) & (c("rank") < c("done") + c("n")))
-    asked = asked.select("size", (c("top") - 1 - c("rank") + c("done")).alias("level"), "rank", F.lit(None).cast("struct<seq:long,gap:int,slot:int>").alias("at"))
+    asked = asked.select("size", (c("top") - 1 - c("rank") + c("done")).alias("level"), "rank", none.cast("long").alias("seq"), none.cast("int").alias("gap"), none.cast("int").alias("slot"))
     # at one level of the stack slots and pieces take turns, with smaller sizes from pair to pair
     turns = Window.partitionBy("level").orderBy(c("size").desc(), c("rank").isNotNull())
-    met = offers.unionByName(asked).withColumn("to", F.lag("at").over(turns)).filter("rank is not null").select("size", "rank", "to.*")
-    earlier = Window.partitionBy("seq").orderBy(c("slot").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.lit(capacity) - c("gap") + F.coalesce(F.sum("size").over(earlier), F.lit(0))
-    return met.select(c("size").alias("length"), "rank", c("seq").alias("sequence_id"), offset.cast("long").alias("offset"))
+    met = offers.unionByName(asked).withColumn("piece", F.lead(F.struct("size", "rank")).over(turns)).filter("seq is not null")
+    met = met.select("seq", "gap", "slot", F.when(c("piece.rank").isNotNull(), c("piece")).alias("piece")).select("seq", "gap", "slot", c("piece.size").alias("length"), "piece.rank")
+    whole = Window.partitionBy("seq").orderBy(c("slot").desc())
+    before = F.coalesce(F.sum("length").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    all_ = F.coalesce(F.sum("length").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0))
+    return met.select("seq", "slot", "length", "rank", (F.lit(capacity) - c("gap") + before).cast("long").alias("offset"), (c("gap") - all_).cast("int").alias("gap"), (F.row_number().over(whole) == 1).alias("one")), pops
+
+
+def bucket_of(seq: Column) -> Column:
+    return F.pmod(F.xxhash64(seq), F.lit(BUCKETS)).cast("int")
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, key: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
@@ -132,8 +155,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, key: tuple[str, ...] = ("doc_i
     are updated and the next superstep takes the pieces left over; sequences
     are opened when the longest of them fits nowhere. The number of supersteps
     depends on the capacity and the spread of lengths, not on how many pieces
-    there are; no task and no driver holds more than size classes (``capacity``
-    of them) or its share of a hash bucket.
+    there are; a task holds its share of rows, the driver counts by size class
+    and bucket (``capacity`` times BUCKETS at most).
 
     Repeated rows are packed once each. Rows with null or impossible lengths
     are refused by an error; an empty table packs to an empty one. Columns of
@@ -151,31 +174,32 @@ def pack(pieces: DataFrame, capacity: int = 2048, key: tuple[str, ...] = ("doc_i
     done, total = np.zeros(capacity + 1, np.int64), int(left.sum())
     if not total:
         return pieces.select(*cols, F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset")).limit(0)
-    rows = pieces.select(F.struct(*cols).alias("row"), c("length").cast("int").alias("length"), F.lit(1).cast("long").alias("one"), F.pmod(F.xxhash64(*key), F.lit(max(BUCKETS, total // CELL))).cast("int").alias("bucket"))
-    ranked = prefix_sum(rows, ["length"], ["bucket"], [c("row")[k] for k in key], "one", "rank").select("length", "rank", "row")
+    rows = pieces.select(F.struct(*cols).alias("row"), c("length").cast("int").alias("length"), F.lit(1).cast("long").alias("one"), F.pmod(F.xxhash64(*key), F.lit(max(BUCKETS, total // CELL))).cast("int").alias("piece_bucket"))
+    ranked = prefix_sum(rows, ["length"], ["piece_bucket"], [c("row")[k] for k in key], "one", "rank").select("length", "rank", "row")
     ranked = materialise(ranked.repartitionByRange(c("length").desc(), c("rank")).sortWithinPartitions(c("length").desc(), c("rank")), "sorted-pieces")
     state, opened, places = None, 0, []
-    gaps = np.zeros(capacity + 1, np.int64)
-    while left.any():
+    gaps, cells = np.zeros(capacity + 1, np.int64), {}
+    while True:
         if n := to_open(gaps, left):
             fresh = spark.range(opened, opened + n).select(c("id").alias("seq"), F.lit(capacity).alias("gap"))
             state = fresh if state is None else state.unionByName(fresh)
+            for r in fresh.groupBy(bucket_of(c("seq")).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect():
+                cells[capacity, r["bucket"]] = cells.get((capacity, r["bucket"]), 0) + r["n"]
             opened += n
             gaps[capacity] += n
-        slots, pops = depths(gaps, left)
-        met = materialise(superstep(state, ranked.select("length", "rank"), slots, pops, done, capacity, max(64, opened // CELL)), "places")
-        places.append(met)
+        step, pops = superstep(state, cells, ranked.select("length", "rank"), gaps, left, done)
+        step = materialise(step, "superstep")
+        places.append(step.filter("rank is not null").select("length", "rank", c("seq").alias("sequence_id"), "offset"))
         for size, _, n in pops:
             left[size] -= n
             done[size] += n
-        if left.any():
-            least = int(np.flatnonzero(left)[0])
-            taken = met.groupBy("sequence_id").agg(F.sum("length").cast("int").alias("taken"))
-            state = state.join(taken, c("seq") == c("sequence_id"), "left").select("seq", (c("gap") - F.coalesce("taken", F.lit(0))).alias("gap"))
-            state = materialise(state.filter(c("gap") >= least), "gaps")
-            gaps[:] = 0
-            for r in state.groupBy("gap").agg(F.count(F.lit(1)).alias("n")).collect():
-                gaps[r["gap"]] = r["n"]
+        if not left.any():
+            break
+        state = step.filter(c("one") & (c("gap") >= int(np.flatnonzero(left)[0]))).select("seq", "gap")
+        gaps[:], cells = 0, {}
+        for r in state.groupBy("gap", bucket_of(c("seq")).alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect():
+            cells[r["gap"], r["bucket"]] = r["n"]
+            gaps[r["gap"]] += r["n"]
     all_ = reduce(DataFrame.unionByName, places)
     return ranked.join(all_, ["length", "rank"]).select("row.*", "sequence_id", "offset")
 
