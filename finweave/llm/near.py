@@ -126,10 +126,10 @@ def document_frequencies(docs: DataFrame) -> Weights:
     rows = bounded(docs).select("text").mapInArrow(count, kind)
     for _ in range(3):  # a tree: FAN parts of a slice at once, enough for FAN ** 3 tasks
         rows = rows.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("slice", "part").applyInArrow(added, kind)
-    rows = rows.collect()
-    sums, n = np.zeros(COUNTERS), max(1, sum(r["n"] for r in rows))
-    for r in rows:
-        sums.reshape(SLICES, -1)[r["slice"]] += np.frombuffer(r["sums"], "<i8")
+    rows = rows.toArrow()
+    sums, n = np.zeros(COUNTERS), max(1, pc.sum(rows["n"]).as_py() or 0)
+    for k, raw in zip(rows["slice"].to_pylist(), rows["sums"], strict=True):
+        sums.reshape(SLICES, -1)[k] += np.frombuffer(raw.as_buffer(), "<i8")
     load = sums.mean()
     floor = max(2.0, 4 * load**0.5)
     df = np.clip(sums - load, floor, max(n, floor))

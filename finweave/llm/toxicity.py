@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from finweave.llm.shared import bounded, free, working
+from finweave.llm.shared import bounded, free, trim, working
 from finweave.llm.tokens import steps
 
 # Letters that a sign may stand for.
@@ -257,20 +256,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, top: int = 3_000
         yield pa.RecordBatch.from_pydict({"f": pa.array(names, pa.string()), "n0": pa.array([counts[0][x] for x in names], pa.int64()), "n1": pa.array([counts[1][x] for x in names], pa.int64())})
 
     sums = rows.mapInArrow(tally, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    sums = sums.filter((F.col("f") == "") | (F.col("n1") >= fewest)).collect()
-    n0, n1 = next(((r["n0"], r["n1"]) for r in sums if r["f"] == ""), (0, 0))
+    sums = sums.filter((F.col("f") == "") | (F.col("n1") >= fewest)).toArrow()
+    a, b, words = sums["n0"].to_numpy().astype(float), sums["n1"].to_numpy().astype(float), sums["f"].to_numpy()
+    whole = words == ""
+    n0, n1 = float(a[whole].sum()), float(b[whole].sum())
     if not n0 or not n1:
         model.bias = -6.0
         return model
-
-    def ratio(a: int, b: int) -> float:
-        """Signed likelihood ratio of presence in b of n1 and a of n0."""
-        p = (a + b) / (n0 + n1)
-        part = lambda k, n: sum(x * math.log(x / (n * q)) for x, q in ((k, p), (n - k, 1 - p)) if x > 0 and q > 0)
-        return (1 if b / n1 > a / n0 else -1) * 2 * (part(a, n0) + part(b, n1))
-
-    ranked = sorted(((ratio(r["n0"], r["n1"]), r["f"]) for r in sums if r["f"]), reverse=True)
-    names = [f for g, f in ranked[:top] if g > gain]
+    # signed likelihood ratio of presence in b of n1 and a of n0
+    p = (a + b) / (n0 + n1)
+    part = lambda k, n: sum(np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(n * q, 1e-300)), 0.0) for x, q in ((k, p), (n - k, 1 - p)))
+    ratio = np.where(b / n1 > a / n0, 2.0, -2.0) * (part(a, n0) + part(b, n1))
+    ratio[whole] = -1
+    names = [str(words[i]) for i in np.lexsort((words.astype(str), -ratio))[:top] if ratio[i] > gain]
     index = {f: i for i, f in enumerate(names)}
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,14 +279,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, top: int = 3_000
                 hits.append([(index[f], n) for f, n in c.items() if f in index])
             yield pa.RecordBatch.from_arrays([batch["toxic"].cast(pa.int32()), pa.array([[i for i, _ in h] for h in hits], pa.list_(pa.int32())), pa.array([[n for _, n in h] for h in hits], pa.list_(pa.int32()))], names=["y", "f", "n"])
 
-    got = rows.mapInArrow(sparse, "y int, f array<int>, n array<int>").collect()
-    y = np.array([r["y"] == 1 for r in got], float)
-    row = np.repeat(np.arange(len(got)), [len(r["f"]) for r in got])
-    col = np.array([i for r in got for i in r["f"]], int)
-    val = np.array([n for r in got for n in r["n"]], float)
+    got = rows.mapInArrow(sparse, "y int, f array<int>, n array<int>").toArrow().combine_chunks()
+    y = got["y"].to_numpy().astype(float)
+    row = np.repeat(np.arange(len(y)), pc.list_value_length(got["f"]).to_numpy())
+    col, val = (pc.list_flatten(got[x]).to_numpy().astype(kind) for x, kind in (("f", int), ("n", float)))
     theta, bias = logistic(row, col, val, y, len(names), ridge)
     model.weights = {f: float(w) for f, w in zip(names, theta, strict=True) if abs(w) > 1e-4}
     model.bias = float(bias)
+    trim()
     return model
 
 
