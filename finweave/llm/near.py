@@ -34,6 +34,8 @@ ENTRIES = 1 << 16
 SMALL = 32
 #: Most nodes and characters (on average) of one side of a comparison of blocks.
 BLOCK, BLOCK_CHARS = 1024, 4_000_000
+#: Pairs of single features that a step of a comparison takes, to bound its memory.
+PAIRS = 400_000
 #: Similarities nearer to the least one than this are computed again in double precision.
 MARGIN = 1e-3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -149,11 +151,12 @@ def _table() -> np.ndarray:
     if not _sampling:
         g = np.random.default_rng(20240229)
         r, c, b = g.gamma(2, 1, ENTRIES), g.gamma(2, 1, ENTRIES), g.random(ENTRIES)
-        lnw = (np.arange(LEVELS) / STEP)[:, None]
-        t = np.floor(lnw / r + b)
-        ln_a = (np.log(c) - r * (t - b) - r).astype(np.float32)
-        bits = ln_a.view(np.uint32)
-        _sampling[0] = np.where(bits >> 31 == 1, ~bits, bits | np.uint32(1 << 31)).reshape(-1)
+        out = np.empty((LEVELS, ENTRIES), np.uint32)
+        for k in range(LEVELS):  # one level at a time, to bound memory
+            t = np.floor(k / STEP / r + b)
+            bits = (np.log(c) - r * (t - b) - r).astype(np.float32).view(np.uint32)
+            out[k] = np.where(bits >> 31 == 1, ~bits, bits | np.uint32(1 << 31))
+        _sampling[0] = out.reshape(-1)
     return _sampling[0]
 
 
@@ -268,7 +271,7 @@ def overlaps(left: list[tuple[np.ndarray, np.ndarray, np.ndarray]], right: list[
     many = n_a * n_b > 256
     few = np.flatnonzero(~many & (n_b > 0))
     # every pair of each feature of few: places of a repeated, those of b in turn
-    for part in np.array_split(few, max(1, int((n_a[few] * n_b[few]).sum()) // 4_000_000)):
+    for part in np.array_split(few, max(1, int((n_a[few] * n_b[few]).sum()) // PAIRS)):
         n = n_a[part] * n_b[part]
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         wide = np.repeat(n_b[part], n)
