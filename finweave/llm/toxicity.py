@@ -243,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 12_000, top: int = 3_000
     that speak for toxicity weigh. A ridge logistic regression weights them.
     Without labels of both kinds nothing is toxic."""
     model = Model(language_model(character_counts(docs)))
-    rows = labelled(docs, labels, most)
+    rows = labelled(docs, labels, most).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         working("toxicity")
