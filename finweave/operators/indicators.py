@@ -156,21 +156,22 @@ def volatility(bars: DataFrame, windows: Sequence[int] = (10, 20, 30, 60), year:
 
 
 def ml_features(bars: DataFrame) -> DataFrame:
-    """Indicators, returns and volatility with ratios, trends, flags and calendar parts."""
+    """Indicators, returns and volatility with the price's distance from its
+    means, trends, flags (0 where their window is not full) and calendar parts."""
     b = volatility(returns(indicators(bars, ("sma", "rsi", "macd", "ema"))))
     c = F.col
     b = b.withColumn("volume_sma_20", S.mean("volume", 20))
+    flag = lambda x: F.coalesce(x, F.lit(False)).cast("int")
     cross = (c("macd") > c("macd_signal")) & (S.lag("macd") <= S.lag("macd_signal"))
     return b.withColumns(
         {
-            "price_to_sma_20": div("close", "sma_20"),
-            "price_to_sma_50": div("close", "sma_50"),
+            **{f"price_to_sma_{n}": div("close", f"sma_{n}") - 1 for n in (20, 50, 200)},
             "sma_20_trend": div(S.diff("sma_20", 5), S.lag("sma_20", 5)),
             "sma_50_trend": div(S.diff("sma_50", 10), S.lag("sma_50", 10)),
             "volume_trend": div(S.diff("volume_sma_20", 5), S.lag("volume_sma_20", 5)),
-            "rsi_oversold": (c("rsi_14") < 30).cast("int"),
-            "rsi_overbought": (c("rsi_14") > 70).cast("int"),
-            "macd_cross_up": cross.cast("int"),
+            "rsi_oversold": flag(c("rsi_14") < 30),
+            "rsi_overbought": flag(c("rsi_14") > 70),
+            "macd_cross_up": flag(cross),
             "day_of_week": F.weekday("date"),
             "month": F.month("date"),
             "quarter": F.quarter("date"),

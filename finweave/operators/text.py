@@ -65,6 +65,34 @@ def sentence_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200) -> Da
     return chunks(docs, pack(X.clean(F.col("text"))))
 
 
+def paragraph_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """Whole paragraphs (parts between blank lines, trimmed) together while
+    they have at most ``size`` characters; a longer one is cut by sentences.
+    Texts without paragraphs give no row."""
+
+    @F.pandas_udf("array<string>")
+    def pack(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: by_paragraph(t or "", size, overlap))
+
+    return chunks(docs, pack(F.col("text")))
+
+
+def by_paragraph(text: str, size: int, overlap: int) -> list[str]:
+    out: list[str] = []
+    open_: list[str] = []
+    held = 0
+    for part in filter(None, (p.strip() for p in text.split("\n\n"))):
+        if open_ and held + len(part) > size:
+            out.append("\n\n".join(open_))
+            open_, held = [], 0
+        if len(part) > size:
+            out += packed(part, size, overlap)
+        else:
+            open_.append(part)
+            held += len(part)
+    return out + (["\n\n".join(open_)] if open_ else [])
+
+
 _PATTERNS = [(item, re.compile(p)) for item, (_, p) in K.SECTIONS.items()] + [(item, re.compile(p, re.M)) for item, ps in K.SECTION_ALTERNATES.items() for p in ps]
 
 

@@ -403,33 +403,32 @@ def data_quality(spark, sf_dir):
 
 # Keyed writes ------------------------------------------------------------
 
-_BATCH = "SELECT c_custkey % 900 AS c_custkey, c_name, c_nationkey, round(c_acctbal + 1, 2) AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 3 = 0"
 _CUST = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
 
 
-def _old_new(spark, sf_dir):
-    c = D.read(spark, sf_dir, "customer").select(*_CUST)
-    new = c.filter("c_custkey % 3 = 0").withColumns({"c_custkey": F.col("c_custkey") % 900, "c_acctbal": near(F.col("c_acctbal") + 1, 2)})
-    return c.filter("c_custkey <= 700"), new
+# The table written to is all customers; the batch is made of all rows as well, two to a key; some keys are there and others new.
+_ALL = f"new AS (SELECT c_custkey // 2 * 3 AS c_custkey, c_name, c_nationkey, round(c_acctbal + 1, 2) AS c_acctbal, c_mktsegment FROM customer), old AS (SELECT {', '.join(_CUST)} FROM customer)"
 
 
-_ONCE = f"new AS ({_BATCH}), old AS (SELECT {', '.join(_CUST)} FROM customer WHERE c_custkey <= 700)"
+def _old_new(spark, sf_dir):
+    c = D.read(spark, sf_dir, "customer").select(*_CUST)
+    return c, c.withColumns({"c_custkey": F.expr("c_custkey div 2 * 3"), "c_acctbal": near(F.col("c_acctbal") + 1, 2)})
 
 
-@query(f"WITH {_ONCE}, batch AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY c_name DESC) = 1) SELECT * FROM old WHERE c_custkey NOT IN (SELECT c_custkey FROM batch) UNION ALL SELECT * FROM batch")
+@query(f"WITH {_ALL}, batch AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY c_name DESC) = 1) SELECT * FROM old WHERE c_custkey NOT IN (SELECT c_custkey FROM batch) UNION ALL SELECT * FROM batch")
 def upsert_replace(spark, sf_dir):
     old, new = _old_new(spark, sf_dir)
     return sinks.replace(old, new, ["c_custkey"], [F.col("c_name")])
 
 
-@query(f"WITH {_ONCE}, batch AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY c_name) = 1) SELECT * FROM old UNION ALL SELECT * FROM batch WHERE c_custkey NOT IN (SELECT c_custkey FROM old)")
+@query(f"WITH {_ALL}, batch AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY c_name) = 1) SELECT * FROM old UNION ALL SELECT * FROM batch WHERE c_custkey NOT IN (SELECT c_custkey FROM old)")
 def upsert_ignore(spark, sf_dir):
     old, new = _old_new(spark, sf_dir)
     return sinks.ignore(old, new, ["c_custkey"], [F.col("c_name")])
 
 
 @query(
-    f"""WITH {_ONCE}, batch AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY c_name DESC) = 1)
+    f"""WITH {_ALL}, batch AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY c_name DESC) = 1)
     SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN o.c_custkey IS NULL THEN n.c_name ELSE o.c_name END AS c_name, CASE WHEN o.c_custkey IS NULL THEN n.c_nationkey ELSE o.c_nationkey END AS c_nationkey,
     CASE WHEN n.c_custkey IS NULL THEN o.c_acctbal ELSE n.c_acctbal END AS c_acctbal, CASE WHEN o.c_custkey IS NULL THEN n.c_mktsegment ELSE o.c_mktsegment END AS c_mktsegment FROM old o FULL JOIN batch n ON o.c_custkey = n.c_custkey"""
 )
@@ -438,44 +437,7 @@ def upsert_update(spark, sf_dir):
     return sinks.update(old, new, ["c_custkey"], ["c_acctbal"], [F.col("c_name")])
 
 
-@query(f"WITH {_ONCE} SELECT * FROM old WHERE c_custkey NOT IN (SELECT c_custkey FROM new)")
+@query(f"WITH {_ALL} SELECT * FROM old WHERE c_custkey NOT IN (SELECT c_custkey FROM new)")
 def delete_keys(spark, sf_dir):
     old, new = _old_new(spark, sf_dir)
     return sinks.delete(old, new.select("c_custkey").distinct())
-
-
-# The same on whole tables: the batch is made of all rows, two to a key; some keys are there and others new.
-_ALL = f"new AS (SELECT c_custkey // 2 * 3 AS c_custkey, c_name, c_nationkey, round(c_acctbal + 1, 2) AS c_acctbal, c_mktsegment FROM customer), old AS (SELECT {', '.join(_CUST)} FROM customer)"
-
-
-def _whole_old_new(spark, sf_dir):
-    c = D.read(spark, sf_dir, "customer").select(*_CUST)
-    return c, c.withColumns({"c_custkey": F.expr("c_custkey div 2 * 3"), "c_acctbal": near(F.col("c_acctbal") + 1, 2)})
-
-
-@query(f"WITH {_ALL}, batch AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY c_name DESC) = 1) SELECT * FROM old WHERE c_custkey NOT IN (SELECT c_custkey FROM batch) UNION ALL SELECT * FROM batch")
-def upsert_replace_whole(spark, sf_dir):
-    old, new = _whole_old_new(spark, sf_dir)
-    return sinks.replace(old, new, ["c_custkey"], [F.col("c_name")])
-
-
-@query(f"WITH {_ALL}, batch AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY c_name) = 1) SELECT * FROM old UNION ALL SELECT * FROM batch WHERE c_custkey NOT IN (SELECT c_custkey FROM old)")
-def upsert_ignore_whole(spark, sf_dir):
-    old, new = _whole_old_new(spark, sf_dir)
-    return sinks.ignore(old, new, ["c_custkey"], [F.col("c_name")])
-
-
-@query(
-    f"""WITH {_ALL}, batch AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY c_name DESC) = 1)
-    SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN o.c_custkey IS NULL THEN n.c_name ELSE o.c_name END AS c_name, CASE WHEN o.c_custkey IS NULL THEN n.c_nationkey ELSE o.c_nationkey END AS c_nationkey,
-    CASE WHEN n.c_custkey IS NULL THEN o.c_acctbal ELSE n.c_acctbal END AS c_acctbal, CASE WHEN o.c_custkey IS NULL THEN n.c_mktsegment ELSE o.c_mktsegment END AS c_mktsegment FROM old o FULL JOIN batch n ON o.c_custkey = n.c_custkey"""
-)
-def upsert_update_whole(spark, sf_dir):
-    old, new = _whole_old_new(spark, sf_dir)
-    return sinks.update(old, new, ["c_custkey"], ["c_acctbal"], [F.col("c_name")])
-
-
-@query(f"WITH {_ALL} SELECT * FROM old WHERE c_custkey NOT IN (SELECT c_custkey FROM new)")
-def delete_keys_whole(spark, sf_dir):
-    old, new = _whole_old_new(spark, sf_dir)
-    return sinks.delete(old, new.select("c_custkey").distinct())

@@ -144,16 +144,20 @@ def volatility(spark, sf_dir):
 
 @query(
     S("bars")
-    + f""", m AS (SELECT *, {full("avg", "close", 20)} AS sma_20, {full("avg", "close", 50)} AS sma_50, {full("avg", "volume", 20)} AS volume_sma_20, close - {lag("close")} AS d FROM bars),
+    + f""", ordered AS (SELECT ticker, date, close, row_number() OVER {W} AS i FROM bars), {_ema("e12", "ordered", "close", 12)}, {_ema("e26", "ordered", "close", 26)},
+    mc AS (SELECT o.*, a.y - b.y AS macd FROM ordered o JOIN e12 a USING (ticker, i) JOIN e26 b USING (ticker, i)), {_ema("sig", "mc", "macd", 9)},
+    x AS (SELECT mc.ticker, mc.date, macd > sig.y AS above FROM mc JOIN sig USING (ticker, i)), crossed AS (SELECT ticker, date, above AND NOT {lag("above")} AS up FROM x),
+    m AS (SELECT *, {full("avg", "close", 20)} AS sma_20, {full("avg", "close", 50)} AS sma_50, {full("avg", "close", 200)} AS sma_200, {full("avg", "volume", 20)} AS volume_sma_20, close - {lag("close")} AS d FROM bars),
     g AS (SELECT *, CASE WHEN d > 0 THEN d ELSE 0.0 END AS gain, CASE WHEN d < 0 THEN -d ELSE 0.0 END AS loss FROM m), h AS (SELECT *, {full("avg", "gain", 14)} AS ag, {full("avg", "loss", 14)} AS al FROM g),
-    r AS (SELECT *, CASE WHEN al > 0 THEN 100 - 100 / (1 + ag / al) WHEN ag > 0 THEN 100 END AS rsi FROM h)
-    SELECT ticker, date, round(close / nullif(sma_20, 0), 6) AS price_to_sma_20, round(close / nullif(sma_50, 0), 6) AS price_to_sma_50, round((sma_20 - {lag("sma_20", 5)}) / nullif({lag("sma_20", 5)}, 0), 6) AS sma_20_trend,
-    round((sma_50 - {lag("sma_50", 10)}) / nullif({lag("sma_50", 10)}, 0), 6) AS sma_50_trend, round((volume_sma_20 - {lag("volume_sma_20", 5)}) / nullif({lag("volume_sma_20", 5)}, 0), 6) AS volume_trend, CAST(rsi < 30 AS INTEGER) AS rsi_oversold, CAST(rsi > 70 AS INTEGER) AS rsi_overbought,
-    CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, CAST(month(date) AS INTEGER) AS month, CAST(quarter(date) AS INTEGER) AS quarter FROM r"""
+    r AS (SELECT *, CASE WHEN al > 0 THEN 100 - 100 / (1 + ag / al) WHEN ag > 0 THEN 100 END AS rsi FROM h),
+    f AS (SELECT ticker, date, {", ".join(f"round(close / nullif(sma_{n}, 0) - 1, 6) AS price_to_sma_{n}" for n in (20, 50, 200))}, round((sma_20 - {lag("sma_20", 5)}) / nullif({lag("sma_20", 5)}, 0), 6) AS sma_20_trend,
+    round((sma_50 - {lag("sma_50", 10)}) / nullif({lag("sma_50", 10)}, 0), 6) AS sma_50_trend, round((volume_sma_20 - {lag("volume_sma_20", 5)}) / nullif({lag("volume_sma_20", 5)}, 0), 6) AS volume_trend, CAST(coalesce(rsi < 30, false) AS INTEGER) AS rsi_oversold, CAST(coalesce(rsi > 70, false) AS INTEGER) AS rsi_overbought,
+    CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, CAST(month(date) AS INTEGER) AS month, CAST(quarter(date) AS INTEGER) AS quarter FROM r)
+    SELECT f.*, CAST(coalesce(up, false) AS INTEGER) AS macd_cross_up FROM f JOIN crossed USING (ticker, date)"""
 )
 def ml_features(spark, sf_dir):
     f = indicators.ml_features(bars(spark, sf_dir))
-    return rounded(f.select("ticker", "date", "price_to_sma_20", "price_to_sma_50", "sma_20_trend", "sma_50_trend", "volume_trend", "rsi_oversold", "rsi_overbought", "day_of_week", "month", "quarter"))
+    return rounded(f.select("ticker", "date", "price_to_sma_20", "price_to_sma_50", "price_to_sma_200", "sma_20_trend", "sma_50_trend", "volume_trend", "rsi_oversold", "rsi_overbought", "macd_cross_up", "day_of_week", "month", "quarter"))
 
 
 # Macro -------------------------------------------------------------------

@@ -49,20 +49,11 @@ def sentences(spark, sf_dir):
     return documents(spark, sf_dir).select("document_id", F.posexplode(X.sentences(F.col("text"))).alias("position", "sentence"))
 
 
-@query(
-    f"""WITH s AS (SELECT doc_id AS document_id, {_SENTENCES} AS s FROM documents WHERE doc_id % 2 = 0)
-    SELECT document_id, CAST(i AS INTEGER) AS window_index, array_to_string(s[i + 1 : i + 3], ' ') AS text FROM (SELECT *, unnest(range(0, greatest(len(s) - 2, 1))) AS i FROM s WHERE len(s) > 0)"""
-)
-def sliding_windows(spark, sf_dir):
-    d = documents(spark, sf_dir).filter("document_id % 2 = 0")
-    return d.select("document_id", X.sentences(F.col("text")).alias("s")).select("document_id", F.posexplode(X.sliding(F.col("s"))).alias("window_index", "text"))
-
-
 @query(
     f"""WITH s AS (SELECT doc_id AS document_id, {_SENTENCES} AS s FROM documents)
     SELECT document_id, CAST(i AS INTEGER) AS window_index, array_to_string(s[i + 1 : i + 3], ' ') AS text FROM (SELECT *, unnest(range(0, greatest(len(s) - 2, 1))) AS i FROM s WHERE len(s) > 0)"""
 )
-def sliding_windows_whole(spark, sf_dir):
+def sliding_windows(spark, sf_dir):
     d = documents(spark, sf_dir)
     return d.select("document_id", X.sentences(F.col("text")).alias("s")).select("document_id", F.posexplode(X.sliding(F.col("s"))).alias("window_index", "text"))
 
@@ -75,6 +66,11 @@ def word_chunks(spark, sf_dir):
     return documents(spark, sf_dir).select("document_id", F.posexplode(X.word_windows(F.col("text"))).alias("chunk_index", "text"))
 
 
+@query()
+def paragraph_chunks(spark, sf_dir):
+    return text.paragraph_chunks(documents(spark, sf_dir)).select("document_id", "chunk_index", "chunk_id", "char_count")
+
+
 @query()
 def sentence_chunks(spark, sf_dir):
     return text.sentence_chunks(documents(spark, sf_dir)).select("document_id", "chunk_index", "chunk_id", "char_count")
@@ -117,18 +113,8 @@ def told_figures(spark, sf_dir):
     return f.select("document_id.ticker", "document_id.fiscal_year", "revenue", "net_income", "gross_margin")
 
 
-_FILING = " UNION ALL ".join(f"SELECT 'Item {i}. {t}. ' || text AS part, {k} AS k, doc_id FROM documents" for k, (i, t) in enumerate((("1A", "Risk Factors"), ("2", "Properties"), ("3", "Legal Proceedings"))))
-
-
-@query("SELECT doc_id AS document_id, item, CAST(length(head || text) AS BIGINT) AS chars FROM documents, (VALUES ('item_1a', 'Item 1A. Risk Factors. '), ('item_2', 'Item 2. Properties. '), ('item_3', 'Item 3. Legal Proceedings. ')) h(item, head) WHERE length(text) > 200 AND doc_id % 5 = 0")
-def filing_sections(spark, sf_dir):
-    d = documents(spark, sf_dir).filter("length(text) > 200 and document_id % 5 = 0")
-    t = F.concat_ws("\n", *[F.concat(F.lit(h), F.trim("text")) for h in ("Item 1A. Risk Factors. ", "Item 2. Properties. ", "Item 3. Legal Proceedings. ")])
-    return text.sections(d.withColumn("text", t)).select("document_id", "item", F.length("text").cast("long").alias("chars"))
-
-
 @query("SELECT doc_id AS document_id, item, CAST(length(head || trim(text)) AS BIGINT) AS chars FROM documents, (VALUES ('item_1a', 'Item 1A. Risk Factors. '), ('item_2', 'Item 2. Properties. '), ('item_3', 'Item 3. Legal Proceedings. ')) h(item, head) WHERE length(trim(head || trim(text))) >= 100")
-def filing_sections_whole(spark, sf_dir):
+def filing_sections(spark, sf_dir):
     t = F.concat_ws("\n", *[F.concat(F.lit(h), F.trim("text")) for h in ("Item 1A. Risk Factors. ", "Item 2. Properties. ", "Item 3. Legal Proceedings. ")])
     return text.sections(documents(spark, sf_dir).withColumn("text", t)).select("document_id", "item", F.length("text").cast("long").alias("chars"))
 
@@ -216,14 +202,8 @@ def ratio_documents(spark, sf_dir):
     return retrieval.ratio_documents(s.unpivot(["ticker", "fy"], ["gross_margin", "roa"], "metric", "value"))
 
 
-@query("SELECT string_agg('[fy=' || turn || ' section=' || role || ' source=' || conv_id || '] ' || CASE WHEN length(t) > 80 THEN substr(t, 1, 80) || ' ...' ELSE t END, chr(10) || chr(10) ORDER BY conv_id, turn) AS context FROM (SELECT *, replace(text, chr(10), ' ') AS t FROM conversations WHERE conv_id < 5)")
-def answer_context(spark, sf_dir):
-    c = D.read(spark, sf_dir, "conversations").filter("conv_id < 5")
-    return retrieval.context(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("rank"), F.col("turn").alias("fy"), F.col("role").alias("section"), F.col("conv_id").cast("string").alias("source"), "text"), 80)
-
-
 @query("SELECT conv_id, coalesce(string_agg('[fy=' || turn || ' section=' || role || ' source=' || conv_id || '] ' || CASE WHEN length(t) > 1200 THEN substr(t, 1, 1200) || ' ...' ELSE t END, chr(10) || chr(10) ORDER BY turn), '') AS context FROM (SELECT *, replace(text, chr(10), ' ') AS t FROM conversations) GROUP BY conv_id")
-def answer_contexts_whole(spark, sf_dir):
+def answer_contexts(spark, sf_dir):
     c = D.read(spark, sf_dir, "conversations")
     return retrieval.context(c.select("conv_id", F.col("turn").alias("rank"), F.col("turn").alias("fy"), F.col("role").alias("section"), F.col("conv_id").cast("string").alias("source"), "text"), by=["conv_id"])
 

@@ -340,3 +340,36 @@ def test_reports_are_text(spark):
     v = variance.period_variance(spark.createDataFrame(d), spark.createDataFrame(d.assign(value=2.0)))
     r = variance.report(v).first()
     assert (r["current"], r["change"], r["mark"]) == ("3.00", "50.0%", "✓")
+
+
+def test_paragraphs_fall_back_to_sentences(spark):
+    from finweave.operators import text
+
+    long_ = "One is here. Two is there. Three is far away."
+    d = spark.createDataFrame([(1, f"aa\n\n bb \n\n\n\ncc\n\n{long_}\n\nlast"), (2, ""), (3, None), (4, "x" * 50), (5, " \n\n ")], "document_id long, text string")
+    got = {}
+    for r in text.paragraph_chunks(d, size=20, overlap=0).orderBy("document_id", "chunk_index").collect():
+        got.setdefault(r["document_id"], []).append(r["text"])
+    assert got == {1: ["aa\n\nbb\n\ncc", "One is here.", "Two is there.", "Three is far away.", "last"], 4: ["x" * 50]}
+    assert text.by_paragraph("aaaa\n\nbbbb\n\ncc", 6, 0) == ["aaaa", "bbbb\n\ncc"]
+
+
+def test_ml_features_by_hand(spark):
+    from datetime import date, timedelta
+
+    from finweave.operators import indicators
+
+    close = [100.0 + (i * 7 % 11) + i * 0.1 for i in range(230)]
+    rows = [("A", date(2024, 1, 1) + timedelta(i), c, c + 1, c - 1, c, 1000.0 + i) for i, c in enumerate(close)]
+    d = spark.createDataFrame(rows, "ticker string, date date, open double, high double, low double, close double, volume double")
+    got = indicators.ml_features(d).orderBy("date").collect()
+    ema = lambda xs, n: [y := xs[0]] + [y := y + 2 / (n + 1) * (x - y) for x in xs[1:]]  # noqa: E731, F841
+    macd = [a - b for a, b in zip(ema(close, 12), ema(close, 26), strict=True)]
+    signal = ema(macd, 9)
+    for i, r in enumerate(got):
+        for n in (20, 50, 200):
+            want = close[i] / (sum(close[i - n + 1 : i + 1]) / n) - 1 if i >= n - 1 else None
+            assert (r[f"price_to_sma_{n}"] is None) == (want is None) and (want is None or abs(r[f"price_to_sma_{n}"] - want) < 1e-9)
+        crossed = i > 0 and macd[i] > signal[i] + 1e-12 and macd[i - 1] <= signal[i - 1] + 1e-12
+        assert r["macd_cross_up"] == int(crossed)
+    assert got[0]["rsi_oversold"] == 0
