@@ -30,14 +30,32 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/finweave/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: What this driver has written with ``materialise`` and not forgotten.
+_written: list[str] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back. Cuts the lineage in
     a way that survives lost executors and keeps column pruning for readers."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    return len(_written)
+
+
+def forget(spark: SparkSession, since: int) -> None:
+    """Deletes what was written after ``written()`` was ``since``, but for the
+    last: for a caller who has just written its result and needs no more."""
+    gone, _written[since:] = _written[since:-1], _written[-1:]
+    for path in gone:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def clean(spark: SparkSession) -> bool:
     """Deletes what this application's operators have written to the shared
     folder. For after the last use of their results, which read from there."""

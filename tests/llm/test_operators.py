@@ -832,5 +832,17 @@ def test_sizes_of_batches_are_kept_in_any_unit(spark):
         spark.conf.set(shared.BATCH, kept) if kept else spark.conf.unset(shared.BATCH)
 
 
+def test_written_frames_are_forgotten(spark):
+    import os
+
+    since = shared.written()
+    a, b = (shared.materialise(spark.range(n).toDF("x"), "t") for n in (3, 4))
+    places = [df.inputFiles()[0].removeprefix("file://") for df in (a, b)]
+    shared.forget(spark, since)
+    assert [os.path.exists(x) for x in places] == [False, True] and b.count() == 4
+    shared.forget(spark, since)
+    assert shared.written() == since + 1 and b.count() == 4
+
+
 def test_base_text_is_long_enough():
     assert len(BASE.split()) > 25
