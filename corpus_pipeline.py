@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir); all but the last return the columns of
 documents. ``run`` writes every stage's result to the shared folder and reads
-it back for the next, so a lost executor repeats a task and not the stages.
+it back for the next, so a lost executor repeats a task and not the stages;
+what a stage has read and written on the way is deleted then.
 """
 
 from __future__ import annotations
@@ -50,7 +51,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = queries.table(spark, sf_dir, "documents")
+    docs, since = queries.table(spark, sf_dir, "documents"), shared.written()
     for name, stage in STAGES:
         docs = shared.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        shared.forget(spark, since)
     return docs
