@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finweave.llm import ann, chat, media, mixing, near, packing, pii, secrets, tokens, toxicity
+from finweave.llm import ann, chat, media, middle, mixing, near, packing, pii, repair, secrets, tokens, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -60,6 +60,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(repair.repaired(table(spark, sf_dir, "conversations")))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.digest(middle.fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_transport_streams": op2_transport_streams,
@@ -71,8 +79,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secrets": op10_secrets,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op8_token_files": op8_token_files,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.SQL,
     "op6_perspectives": chat.SQL,
+    "op11_conversation_repair": repair.SQL,
+    "op12_fill_in_middle": middle.SQL,
 }
