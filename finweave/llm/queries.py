@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finweave.llm import ann, chat, media, middle, mixing, near, packing, pii, repair, secrets, tokens, toxicity
+from finweave.llm import ann, chat, languages, media, middle, mixing, near, packing, pii, repair, secrets, tokens, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -68,6 +68,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.digest(middle.fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50))
 
 
+def op13_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identified(table(spark, sf_dir, "documents"), most=6_000).drop("runs")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_transport_streams": op2_transport_streams,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_languages": op13_languages,
 }
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.SQL,
