@@ -153,11 +153,13 @@ def demux(stream: bytes | None) -> dict | None:
     pat = _read_section(packets, PAT_PID, 0)
     if pat is None:
         return found
-    found["pmt_pid"] = next((pid & 0x1FFF for n, pid in struct.iter_unpack(">HH", pat[8:-4]) if n), -1)
+    found["pmt_pid"] = next((pid & 0x1FFF for n, pid in struct.iter_unpack(">HH", pat[8 : 8 + (len(pat) - 12) // 4 * 4]) if n), -1)
     pmt = _read_section(packets, found["pmt_pid"], 2)
     if pmt is None:
         return found
-    at = 12 + (struct.unpack(">H", pmt[10:12])[0] & 0xFFF)
+    at = 12 + (struct.unpack(">H", pmt[10:12])[0] & 0xFFF) if len(pmt) >= 16 else len(pmt)
+    if at + 5 > len(pmt) - 4:  # no stream, or lengths beyond the section
+        return found
     found["stream_type"], pid = struct.unpack(">BH", pmt[at : at + 3])
     found["es_pid"] = pid & 0x1FFF
     mine = _pids(packets) == found["es_pid"]
@@ -177,6 +179,8 @@ def demux(stream: bytes | None) -> dict | None:
     data = rows[np.arange(PACKET) >= start[:, None]]
     ends = np.cumsum(PACKET - start)
     opens = np.flatnonzero(rows[:, 1] & 0x40 > 0)
+    if not len(opens):
+        return found
     access = adapted & (rows[:, 5] & 0x40 > 0)
     out, size = [], 0
     for a, b in zip(opens, [*opens[1:], len(rows)], strict=True):
@@ -191,7 +195,7 @@ def demux(stream: bytes | None) -> dict | None:
             continue
         if access[a]:
             p = pes[9:14]
-            pts = (p[0] & 0x0E) << 29 | p[1] << 22 | (p[2] & 0xFE) << 14 | p[3] << 7 | p[4] >> 1 if pes[7] & 0x80 else -1
+            pts = (p[0] & 0x0E) << 29 | p[1] << 22 | (p[2] & 0xFE) << 14 | p[3] << 7 | p[4] >> 1 if pes[7] & 0x80 and len(p) == 5 else -1
             found["access"].append((int(where[a]), size, int(pts)))
         found["elementary"] += 1
         out.append(body)

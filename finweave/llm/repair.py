@@ -177,8 +177,8 @@ _ARROW_BLOCK = pa.schema(
 class _Block:
     """Rows of a conversation on their way to a row of ``BLOCK``."""
 
-    def __init__(self, conv_id: int | None, place: int, first: bool):
-        self.conv_id, self.place, self.open = conv_id, place, first
+    def __init__(self, conv_id: int | None, place: int, first: bool, most: int):
+        self.conv_id, self.place, self.open, self.most = conv_id, place, first, most
         self.roles: list[str] = []
         self.texts: list[str] = []
         self.faults = bytearray()
@@ -196,7 +196,7 @@ class _Block:
 
     @property
     def full(self) -> bool:
-        return len(self.roles) >= BLOCK_ROWS or self.chars >= BLOCK_CHARS
+        return len(self.roles) >= self.most or self.chars >= BLOCK_CHARS
 
     def row(self, complete: bool, task: int) -> dict:
         initials = "".join(r[:1] or "\0" for r in self.roles)
@@ -209,7 +209,7 @@ class _Block:
         }
 
 
-def _as_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _as_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     working("repair")
     task = TaskContext.get().partitionId()
     now: _Block | None = None
@@ -232,11 +232,11 @@ def _as_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if now is None or conv_id != now.conv_id:
                 if now is not None:
                     close(not now.open)  # whole in this task, in one block
-                now = _Block(conv_id, 0, now is None)
+                now = _Block(conv_id, 0, now is None, most)
             for k in range(n):
                 if now.full:
                     close(False)
-                    now = _Block(conv_id, now.place + 1, True)
+                    now = _Block(conv_id, now.place + 1, True, most)
                 now.add(turn, role, text, BLANK if fault == BLANK else DUPLICATE if k or not first else fault)
                 if chars > BLOCK_CHARS or len(waiting) >= 2000:
                     yield flush()
@@ -245,7 +245,7 @@ def _as_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def blocks(conversations: DataFrame) -> DataFrame:
+def blocks(conversations: DataFrame, most: int = BLOCK_ROWS) -> DataFrame:
     """Damaged conversations as blocks of their rows in order, with faults.
 
     A row is the first of its role and text if its turn is the least; least
@@ -262,7 +262,7 @@ def blocks(conversations: DataFrame) -> DataFrame:
     tail = F.substring(F.rtrim(F.col("text"), F.lit(SPACE)), -1, 1)
     fault = F.when(tail == "", BLANK).when(~tail.isin(".", "!", "?"), TRUNCATED).otherwise(FINE)
     dealt = dealt.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text", "n", (F.col("first") == 1).alias("first"), fault.alias("fault"))
-    return bounded(dealt).sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_as_blocks, BLOCK)
+    return bounded(dealt).sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(lambda batches: _as_blocks(batches, most), BLOCK)
 
 
 PLACE = ["conv_id", "task", "block"]
@@ -327,11 +327,11 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 REPAIRED = "conv_id long, task int, block int, complete boolean, n_rows long, gap_turns array<long>, blank long, duplicate long, truncated long, illegal long, initials string, faults binary, audit string, cost long, roles array<string>, texts array<string>"
 
 
-def repaired(conversations: DataFrame) -> DataFrame:
+def repaired(conversations: DataFrame, most: int = BLOCK_ROWS) -> DataFrame:
     """Damaged conversations after the cheapest edits that make the initials
     of their roles ``(s?(ua)+)?``.
 
-    Rows: a block of a conversation, in order of task and block; complete: the
+    Rows: a block (``most`` rows) of a conversation, in order of task and block; complete: the
     block is the whole of it. Beside counts of faults: the audit (an initial
     an edit: Delete, Insert, Keep, Rerole) and the block's repaired roles and
     texts. Among the cheapest the audit least by code points is taken.
@@ -352,7 +352,7 @@ def repaired(conversations: DataFrame) -> DataFrame:
     damage has one empty block, an empty table none; other columns are left
     out. Repeated rows count and are duplicates.
     """
-    made = materialise(blocks(conversations), "conversation-blocks")
+    made = materialise(blocks(conversations, most), "conversation-blocks")
     parts = made.filter("not complete")
     ends = parts.select(*PLACE, "matrix").groupBy("conv_id").applyInArrow(_ends, "conv_id long, task int, block int, ahead array<long>, last boolean")
     walked = join_same(parts.select(*PLACE, "initials", "faults"), ends, PLACE).mapInArrow(_paths, "conv_id long, task int, block int, audits array<string>, to array<int>")

@@ -42,14 +42,16 @@ CLASSES = (
 )
 #: Candidates that are not secrets: UUIDs, dates, repeats, paths and dashed or
 #: underscored words. Words and numbers are bounded at the end as well, so a
-#: key after a label or a date is none of them.
+#: key after a label or a date is none of them, and a group of letters with
+#: digits is neither word nor number. What may follow in a pattern never begins
+#: alike, so a match takes linear time.
 ALLOW = tuple(
     re.compile(p)
     for p in (
         r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-        r"\d{4}-\d\d-\d\d(?:[T/_=+-]+(?:\d{1,8}|[A-Za-z]{1,15}))*Z?[/_=+-]*",
+        r"\d{4}-\d\d-\d\d(?:T\d{1,8})?Z?(?:[/_=+-]+(?:\d{1,8}Z?|[A-Za-z]{1,15}))*[/_=+-]*",
         r"(.{1,6})\1{2,}.{0,6}",
-        r"/?(?:[a-z0-9]{1,12}[/_=-])+[a-z]{0,15}",
+        r"/?(?:(?:[a-z]{1,12}|\d{1,12})[/_=-])+(?:[a-z]{1,15}|\d{1,4})?",
         r"(?:[A-Za-z]{1,15}[-_/+=]+)+[A-Za-z]{0,15}",
         r"[+/_=-]+",
     )
@@ -59,16 +61,11 @@ _TERM = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 def windows(run: str, width: int = WINDOW) -> Iterator[tuple[int, str, float]]:
     """(start, class, entropy) of every window, by counts that are updated as
-    characters come and go: constant work a step."""
+    characters go and come: constant work a step."""
     counts: dict[str, int] = {}
     missing = [0] * len(CLASSES)
     total = 0.0
     for i, c in enumerate(run):
-        n = counts.get(c, 0)
-        total += _TERM[n + 1] - _TERM[n]
-        counts[c] = n + 1
-        for k, (_, chars, _) in enumerate(CLASSES):
-            missing[k] += c not in chars
         if i >= width:
             old = run[i - width]
             n = counts[old]
@@ -76,6 +73,11 @@ def windows(run: str, width: int = WINDOW) -> Iterator[tuple[int, str, float]]:
             counts[old] = n - 1
             for k, (_, chars, _) in enumerate(CLASSES):
                 missing[k] -= old not in chars
+        n = counts.get(c, 0)
+        total += _TERM[n + 1] - _TERM[n]
+        counts[c] = n + 1
+        for k, (_, chars, _) in enumerate(CLASSES):
+            missing[k] += c not in chars
         if i >= width - 1:
             kind = next((CLASSES[k][0] for k in range(len(CLASSES)) if not missing[k]), "")
             yield i - width + 1, kind, math.log2(width) - total / width
@@ -118,7 +120,13 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     if not text:
         return [], []
     base = base_spans(text)
-    more = [(a, 3, b) for a, b in entropy_spans(text) if not any(s <= a and b <= e for s, _, e in base)]
+    more, k, reach = [], 0, 0
+    for a, b in entropy_spans(text):  # both in order of their starts
+        while k < len(base) and base[k][0] <= a:
+            reach = max(reach, base[k][2])
+            k += 1
+        if b > reach:
+            more.append((a, 3, b))
     return base, sorted(base + more)
 
 
