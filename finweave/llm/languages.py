@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from finweave.llm.shared import bounded, keeps, materialise, trim, working
+from finweave.llm.shared import bounded, materialise, trim, working
 from finweave.llm.tokens import steps
 
 UNKNOWN = "und"
@@ -22,7 +21,6 @@ UNKNOWN = "und"
 WINDOW, SEQUENCE = 32, 64
 #: Words between two places where the chain is cut for work in parallel.
 STRIDE = 64
-CACHE_WORDS = 400_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -43,38 +41,76 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), codes[real], np.append(0, np.cumsum(real))[borders]
 
 
-def word_features(word: str) -> list[str]:
-    """Affixes of one to four letters, and pairs and triples of letters with the word's borders."""
-    out = [f"{word[:n]}-" for n in range(1, 5) if n <= len(word)] + [f"-{word[-n:]}" for n in range(1, 5) if n <= len(word)]
-    marked = f"^{word}$"
-    return out + list({marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1)})
+#: Odd multipliers that mix a feature's kind and letters into its key.
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+
+def _keys(kind: int, letters: list[np.ndarray]) -> np.ndarray:
+    """64-bit keys of features of a kind: of rows of letters."""
+    out = np.full(len(letters[0]), kind + 1, np.uint64) * _MIX[0]
+    for x, m in zip(letters, _MIX[1:], strict=False):
+        out = (out ^ x) * m
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of words and keys of their features: affixes of one to four
+    letters, and pairs and triples of letters with the word's borders."""
+    joined = "".join(f"^{w}$" for w in words)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    start = np.cumsum(size + 2) - size - 2
+    owners, keys = [], []
+    for n in range(1, 5):
+        has = np.flatnonzero(size >= n)
+        for kind, first in ((0, start[has] + 1), (1, start[has] + 1 + size[has] - n)):
+            owners.append(has)
+            keys.append(_keys(8 * kind + n, [codes[first + i] for i in range(n)]))
+    owner = np.repeat(np.arange(len(words)), size + 2)
+    left = np.repeat(start + size + 2, size + 2) - np.arange(len(codes))
+    for n in (2, 3):
+        at = np.flatnonzero(left >= n)
+        owners.append(owner[at])
+        keys.append(_keys(16 + n, [codes[at + i] for i in range(n)]))
+    return np.concatenate(owners), np.concatenate(keys)
 
 
 @dataclass
 class Model:
-    """languages in order; lexicon: bins by language of common words; names:
-    row of a feature in weights; transitions and start are scores as well."""
+    """languages in order; lexicon: bins by language of common words; keys: of
+    features, in order; weights: a row each; transitions and start are scores as well."""
 
     languages: list[str]
     lexicon: dict[str, tuple[int, ...]]
-    names: dict[str, int]
+    keys: np.ndarray
     weights: np.ndarray
     transitions: np.ndarray
     start: np.ndarray
 
-    def rows(self, word: str) -> list[int]:
-        """Rows of the features that a word has: those it is made of, and for
-        a word of the lexicon how much of its use is in each language."""
-        found = [self.names[f] for f in word_features(word) if f in self.names]
-        return found + [self.names[f] for k, b in enumerate(self.lexicon.get(word, ())) if (f := f"lexicon {k} {b}") in self.names]
+    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of words and keys: what they are made of, and for a word of
+        the lexicon how much of its use is in each language."""
+        owner, key = word_features(words)
+        known = [(i, self.lexicon[w]) for i, w in enumerate(words) if w in self.lexicon]
+        bins = np.array([b for _, b in known], np.int64).reshape(len(known), len(self.languages))
+        return np.append(owner, np.repeat(np.array([i for i, _ in known], np.int64), bins.shape[1])), np.append(key, lexicon_keys(bins).reshape(-1))
+
+    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of words and rows of ``weights``."""
+        owner, key = self.features(words)
+        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        has = np.flatnonzero(self.keys[at] == key) if len(self.keys) else np.zeros(0, np.int64)
+        return owner[has], at[has]
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Sum of weights of each word."""
-        rows = [self.rows(w) for w in words]
-        ends = np.cumsum([0, *map(len, rows)])
-        sums = np.zeros((int(ends[-1]) + 1, len(self.languages)))
-        np.cumsum(self.weights[np.fromiter((i for r in rows for i in r), np.int64, int(ends[-1]))], axis=0, out=sums[1:])
-        return sums[ends[1:]] - sums[ends[:-1]]
+        owner, row = self.rows(words)
+        return np.stack([np.bincount(owner, self.weights[row, j], len(words)) for j in range(len(self.languages))], 1)
+
+
+def lexicon_keys(bins: np.ndarray) -> np.ndarray:
+    return (np.arange(bins.shape[1]) * 5 + bins).astype(np.uint64)
 
 
 def forward_backward(scores: np.ndarray, transitions: np.ndarray, start: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -105,45 +141,58 @@ def chain(model: Model, scores: np.ndarray, borders: np.ndarray) -> np.ndarray:
     is cut every ``STRIDE`` words, the pieces' matrices are made for all pieces
     at once, and what they multiply to is handed from piece to piece."""
     n, wide = scores.shape
-    e, a, begin = np.exp(scores - scores.max(1, keepdims=True)) if n else scores, np.exp(model.transitions), np.exp(model.start)
+    if not n:
+        return np.zeros((0, wide))
+    a, begin = np.exp(model.transitions), np.exp(model.start)
     sizes = np.diff(borders)
     pieces = -(-sizes // STRIDE)
     text = np.repeat(np.arange(len(sizes)), pieces)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    at = borders[text] + nth * STRIDE
-    size = np.minimum(borders[text + 1] - at, STRIDE)
-    first, last, k = nth == 0, nth == pieces[text] - 1, len(text)
-    left, right = np.ones((k, wide)), np.ones((k, wide))
-    longer = np.flatnonzero(pieces[text] > 1)
-    if len(longer):
-        p = np.where(first[longer, None, None], begin[None, None], a[None]) * e[at[longer], None]
-        for t in range(1, STRIDE):
-            more = np.flatnonzero(size[longer] > t)
-            x = (p[more] @ a) * e[at[longer[more]] + t, None]
-            p[more] = x / x.max((1, 2), keepdims=True)
-        for i in range(1, len(longer)):
-            if not first[j := longer[i]]:
-                v = (np.ones(wide) if first[longer[i - 1]] else left[longer[i - 1]]) @ p[i - 1]
-                left[j] = v / v.sum()
-        for i in range(len(longer) - 2, -1, -1):
-            if not last[j := longer[i]]:
-                v = p[i + 1] @ right[longer[i + 1]]
-                right[j] = v / v.max()
-    alpha, out = np.zeros((n, wide)), np.zeros((n, wide))
-    for t in range(min(STRIDE, int(size.max(initial=0)))):
-        more = np.flatnonzero(size > t)
-        before = alpha[at[more] + t - 1] if t else left[more]
-        x = (np.where(first[more, None], begin[None], before @ a) if t == 0 else before @ a) * e[at[more] + t]
-        alpha[at[more] + t] = x / x.sum(1, keepdims=True)
-    beta = right
-    for t in range(min(STRIDE, int(size.max(initial=0))) - 1, -1, -1):
-        more = np.flatnonzero(size > t)
-        inner = more[size[more] > t + 1]
-        x = (e[at[inner] + t + 1] * beta[inner]) @ a.T
-        beta[inner] = x / x.max(1, keepdims=True)
-        x = alpha[at[more] + t] * beta[more]
-        out[at[more] + t] = x / x.sum(1, keepdims=True)
-    return out
+    size = np.minimum(sizes[text] - nth * STRIDE, STRIDE)
+    first, last = nth == 0, nth == pieces[text] - 1
+    # pieces by length, longest first: at each step those that go on are the first ones
+    order = np.argsort(-size, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    piece = np.repeat(np.arange(len(text)), size)
+    step, where = np.arange(n) - np.repeat(np.cumsum(size) - size, size), place[piece]
+    e = np.zeros((int(size.max()), len(text), wide))
+    e[step, where] = np.exp(scores - scores.max(1, keepdims=True))
+    going = [int((size > t).sum()) for t in range(len(e))]
+    opens = first[order]
+    left, right = np.ones((len(text), wide)), np.ones((len(text), wide))
+    if (pieces > 1).any():
+        p = np.where(opens[:, None, None], begin, a) * e[0][:, None]
+        for t in range(1, len(e)):
+            m = going[t]
+            p[:m] = (p[:m].reshape(-1, wide) @ a).reshape(m, wide, wide) * e[t, :m, None]
+            if t % 8 == 7:
+                p[:m] /= p[:m].max((1, 2), keepdims=True)
+        p /= p.max((1, 2), keepdims=True)
+        for i in np.flatnonzero(~first):
+            j = place[i - 1]
+            v = left[j] @ p[j]
+            left[place[i]] = v / v.sum()
+        for i in np.flatnonzero(~last)[::-1]:
+            j = place[i + 1]
+            v = p[j] @ right[j]
+            right[place[i]] = v / v.max()
+    out = np.empty_like(e)
+    x = np.where(opens[:, None], begin, left @ a) * e[0]
+    out[0] = x / x.sum(1, keepdims=True)
+    for t in range(1, len(e)):
+        m = going[t]
+        x = (out[t - 1, :m] @ a) * e[t, :m]
+        out[t, :m] = x / x.sum(1, keepdims=True)
+    back = a.T.copy()
+    for t in range(len(e) - 1, -1, -1):
+        m = going[t]
+        if t + 1 < len(e) and (k := going[t + 1]):
+            x = (e[t + 1, :k] * right[:k]) @ back
+            right[:k] = x / x.max(1, keepdims=True)
+        out[t, :m] *= right[:m]
+    got = out[step, where]
+    return got / got.sum(1, keepdims=True)
 
 
 def training(docs: DataFrame) -> DataFrame:
@@ -214,7 +263,7 @@ def fit(docs: DataFrame, most: int = 6_000, common: int = 1_000, fewest: int = 3
     """
     rows = training(docs)
     counts = dict(sorted((k, n) for k, n in rows.groupBy("lang").count().collect()))
-    model = Model(list(counts), {}, {}, np.zeros((0, len(counts))), np.zeros((len(counts),) * 2), np.zeros(len(counts)))
+    model = Model(list(counts), {}, np.zeros(0, np.uint64), np.zeros((0, len(counts))), np.zeros((len(counts),) * 2), np.zeros(len(counts)))
     if len(counts) < 2:
         return model
     model.lexicon = lexicon(rows, model.languages, common)
@@ -230,13 +279,11 @@ def learned(model: Model, sample: list[tuple[str, list[str]]], fewest: int, ridg
     names = list(dict.fromkeys(words))
     number = {w: i for i, w in enumerate(names)}
     code = np.array([number[w] for w in words], np.int64)
-    often: Counter = Counter(f for w in names for f in word_features(w))
-    kept = sorted(f for f, n in often.items() if n >= fewest)
-    model.names = {f: i for i, f in enumerate([*kept, *(f"lexicon {k} {b}" for k in range(wide) for b in range(5))])}
-    lists = [model.rows(w) for w in names]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    flat = np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum()))
-    owner = np.repeat(np.arange(len(names)), sizes)
+    owner, key = model.features(names)
+    pairs = np.unique(np.stack([key, owner.astype(np.uint64)]), axis=1)[0] if len(key) else key
+    found, often = np.unique(pairs, return_counts=True)
+    model.keys = found[(often >= fewest) | (found < 5 * wide)]
+    owner, flat = model.rows(names)
     n = -(-len(words) // SEQUENCE)
     real = (np.arange(n * SEQUENCE) < len(words)).reshape(n, SEQUENCE)
     shown = np.zeros((n * SEQUENCE, wide))
@@ -244,7 +291,7 @@ def learned(model: Model, sample: list[tuple[str, list[str]]], fewest: int, ridg
     inside = np.flatnonzero(np.arange(1, len(words)) % SEQUENCE)
     seen = np.zeros((wide, wide))
     np.add.at(seen, (y[inside], y[inside + 1]), 1)
-    params = [np.zeros((len(model.names), wide)), np.zeros((wide, wide)), np.zeros(wide)]
+    params = [np.zeros((len(model.keys), wide)), np.zeros((wide, wide)), np.zeros(wide)]
     means, squares = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for k in range(1, rounds + 1):
         w, a, b = params
@@ -263,9 +310,6 @@ def learned(model: Model, sample: list[tuple[str, list[str]]], fewest: int, ridg
     return model
 
 
-_known: dict[str, np.ndarray] = {}
-keeps("languages", _known.clear)
-
 FIELDS = "lang_pred string, score double, runs array<struct<lang:string,first:long,words:long>>"
 
 
@@ -290,12 +334,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in steps(batch, "text"):
                 names, codes, borders = words_of(part["text"])
-                fresh = [w for w in names if w not in _known]
-                if len(_known) + len(fresh) > CACHE_WORDS:
-                    _known.clear()
-                    fresh = names
-                _known.update(zip(fresh, m.scores(fresh) if m.languages else np.zeros((len(fresh), 1)), strict=True))
-                each = np.stack([_known[w] for w in names]) if names else np.zeros((0, wide))
+                each = m.scores(names) if m.languages else np.zeros((len(names), 1))
                 odds = chain(m, each[codes], borders) if m.languages else np.zeros((len(codes), 1))
                 sums = np.zeros((len(codes) + 1, wide))
                 np.cumsum(odds, axis=0, out=sums[1:])

@@ -59,7 +59,7 @@ def test_gradient_of_the_partition_function(field):
 def test_cut_chains_are_whole_chains(field, monkeypatch, stride):
     rng, a, s = field
     monkeypatch.setattr(languages, "STRIDE", stride)
-    model = languages.Model(list("abc"), {}, {}, np.zeros((0, 3)), a, s)
+    model = languages.Model(list("abc"), {}, np.zeros(0, np.uint64), np.zeros((0, 3)), a, s)
     for _ in range(20):
         borders = np.append(0, np.cumsum(rng.integers(0, 20, size=7)))
         scores = rng.normal(size=(borders[-1], 3)) * 4
@@ -74,6 +74,21 @@ def test_words():
     assert [names[c] for c in codes] == ["ab", "ab", "ét", "x"] and borders.tolist() == [0, 3, 3, 3, 3, 4]
 
 
+def test_features_of_words():
+    """Keys part what differs and join what is equal, against plain sets of substrings."""
+    words = ["ab", "abab", "ba", "étude", "x", "a\U0001f600b", "étuden"]
+    owner, key = languages.word_features(words)
+    seen = {}
+    for i, w in enumerate(words):
+        plain = [("p", w[:n]) for n in range(1, 5) if n <= len(w)] + [("s", w[-n:]) for n in range(1, 5) if n <= len(w)] + [(n, f"^{w}$"[k : k + n]) for n in (2, 3) for k in range(len(w) + 3 - n)]
+        mine = sorted(key[owner == i].tolist())
+        assert len(mine) == len(plain)
+        seen[i] = (set(plain), set(mine))
+    for i in seen:
+        for j in seen:
+            assert len(seen[i][0] & seen[j][0]) == len(seen[i][1] & seen[j][1])
+
+
 def test_code_switched_text(spark):
     """A text in two halves of two languages: runs tell the switch, the longer part the language."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -103,7 +118,7 @@ def test_nothing_of_a_held_out_row_is_used(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     odd = docs.withColumns({c: languages.F.when(languages.held_out(docs["doc_id"]), "xx").otherwise(docs[c]) for c in ("lang", "text")})
     a, b = languages.fit(docs), languages.fit(odd)
-    assert a.languages == b.languages and a.names == b.names and np.allclose(a.weights, b.weights)
+    assert a.languages == b.languages and a.keys.tolist() == b.keys.tolist() and np.allclose(a.weights, b.weights)
 
 
 def test_awkward_tables(spark):
