@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from finweave.functions import constants as K
 from finweave.functions.num import norm_ppf, rounded
-from finweave.operators import anomaly, backtest, factors, forecast, insights, peers, ratios, reports, risk
+from finweave.operators import anomaly, arima, backtest, factors, forecast, insights, peers, ratios, reports, risk, trend
 from finweave.operators.indicators import S as SERIES
 from finweave.plans.market import full
 from finweave.plans.registry import query
@@ -162,6 +162,57 @@ def best_models(spark, sf_dir):
     return forecast.best_model(forecast.forecasts(_series(spark, sf_dir)))
 
 
+def quarters(spark, sf_dir):
+    """ticker (nation), date (quarter), value (orders' sum) and x (orders)."""
+    o = D.read(spark, sf_dir, "orders").select("o_custkey", F.trunc("o_orderdate", "quarter").alias("date"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    by_customer = o.groupBy("o_custkey", "date").agg(F.sum("cents").alias("cents"), F.count(F.lit(1)).alias("x"))
+    c, n = D.read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), D.read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("ticker"))
+    who = by_customer.join(c.join(n, F.col("c_nationkey") == F.col("n_nationkey")), F.col("o_custkey") == F.col("c_custkey"))
+    return who.groupBy("ticker", "date").agg((F.sum("cents") / F.lit(100.0)).alias("value"), F.sum("x").cast("double").alias("x"))
+
+
+#: Orders that are tried: of the plain search, and with a seasonal part and a regressor.
+ARIMA_GRID = arima.grid(2, 1, 2, ((0, 0, 0), (1, 0, 0)))
+SARIMAX_GRID = arima.grid(2, 1, 2, ((1, 1, 1),))
+
+
+@query()
+def arima_models(spark, sf_dir):
+    """Order, parameters and figures of the model of least AIC of each ticker."""
+    best = arima.chosen(arima.fits(quarters(spark, sf_dir), ARIMA_GRID))
+    return best.select("ticker", "order.*", "parameters", "beta", "sigma2", "log_likelihood", "aic", "rmse", "tried")
+
+
+@query()
+def arima_forecasts(spark, sf_dir):
+    return arima.forecast_rows(arima.chosen(arima.fits(quarters(spark, sf_dir), ARIMA_GRID)))
+
+
+@query()
+def sarimax_forecasts(spark, sf_dir):
+    """With the number of orders as a regressor, held at its last value."""
+    return arima.forecast_rows(arima.chosen(arima.fits(quarters(spark, sf_dir), SARIMAX_GRID, regressors=["x"])))
+
+
+TREND = trend.Trend(kinks=12, period=4.0, harmonics=1, regressors=("x",))
+
+
+def trend_rows(spark, sf_dir):
+    """``quarters`` with the quarter's number as time."""
+    t = F.year("date") * 4 + F.quarter("date")
+    return quarters(spark, sf_dir).select("ticker", t.alias("t"), "value", "x")
+
+
+@query()
+def trend_forecasts(spark, sf_dir):
+    return trend.forecasts(trend.fits(trend_rows(spark, sf_dir), TREND), TREND)
+
+
+@query()
+def trend_kinks(spark, sf_dir):
+    return trend.kinks(trend.fits(trend_rows(spark, sf_dir), TREND), TREND)
+
+
 def _tree(spark, sf_dir, kind):
     f = forecast.features(D.statements(spark, sf_dir))
     return forecast.tree_model(f, ["Revenue_lag1", "NetIncome_lag1", "ordinal"], "Revenue", kind)
