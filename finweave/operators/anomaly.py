@@ -72,15 +72,41 @@ def combined(parts: Sequence[DataFrame]) -> DataFrame:
     )
 
 
+#: Finest cells that a band of scores is cut into, as a power of two.
+LEVELS = 20
+
+
 def similar(found: DataFrame, band: float = 0.5, most: int = 5) -> DataFrame:
-    """For each finding up to five others of its metric with a score within the
-    band: scores are cut into cells of the band's width, so a finding meets
-    three cells and not all."""
-    a = found.select("ticker", "metric", "date", "score", F.explode(F.array(*[F.floor(F.col("score") / band) + i for i in (-1, 0, 1)])).alias("cell"))
-    b = found.select(F.col("ticker").alias("like_ticker"), "metric", F.col("date").alias("like_date"), F.col("score").alias("like_score"), F.floor(F.col("score") / band).alias("cell"))
-    j = a.join(b, ["metric", "cell"]).filter((F.abs(F.col("score") - F.col("like_score")) < band) & ((F.col("ticker") != F.col("like_ticker")) | (F.col("date") != F.col("like_date"))))
+    """For each finding the first ``most`` others of its metric, by date and
+    ticker, with a score within the band.
+
+    Scores are cut into cells, and cells are joined two by two, ``LEVELS``
+    times: what lies surely within a finding's band is at most two cells of
+    each size. A cell keeps its first rows only, which are all that a band may
+    need of it, so a crowd of like scores costs no pairs. Rows of the two
+    finest cells at the ends of a band are compared one by one, of those with
+    one score the first.
+    """
+    fine = float(2**LEVELS) / band
+    keys, order = ["ticker", "metric", "date", "score"], ["date", "ticker"]
+    rows = found.select(*keys).withColumn("q", F.floor(F.col("score") * fine).cast("long"))
+    first = lambda df, by: df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order, "score"))).filter(F.col("__n") <= most + 1).drop("__n")
+    like = [F.col(c).alias(f"like_{c}") for c in ("ticker", "date", "score")]
+    # the cell of each size that a row is in, and the cells that make up the inside of its band
+    cells = rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS + 1)))).withColumn("cell", F.expr("shiftright(q, level)"))
+    kept = first(cells, ["metric", "level", "cell"]).select("metric", "level", "cell", *like)
+    lo, hi = F.floor((F.col("score") - band) * fine).cast("long"), F.floor((F.col("score") + band) * fine).cast("long")
+    asked = rows.withColumns({"a": lo + 2, "z": hi - 1, "level": F.explode(F.sequence(F.lit(0), F.lit(LEVELS + 1)))})
+    asked = asked.withColumns({"l": F.expr("shiftright(a + shiftleft(1L, level) - 1, level)"), "r": F.expr("shiftright(z, level)")}).filter("l < r")
+    asked = asked.withColumn("cell", F.explode(F.filter(F.array(F.when(F.col("l") % 2 != 0, F.col("l")), F.when(F.col("r") % 2 != 0, F.col("r") - 1)), lambda c: c.isNotNull())))
+    inside = asked.select(*keys, "level", "cell").join(kept, ["metric", "level", "cell"]).drop("level", "cell")
+    # up to two finest cells on either side of what is surely inside
+    edges = rows.withColumn("cell", F.explode(F.array_distinct(F.array(lo - 1, lo, lo + 1, hi - 1, hi, hi + 1))))
+    by_score = first(rows, ["metric", "score"]).select("metric", F.col("q").alias("cell"), *like)
+    border = edges.select(*keys, "cell").join(by_score, ["metric", "cell"]).drop("cell")
+    j = inside.unionByName(border).filter((F.abs(F.col("score") - F.col("like_score")) < band) & ((F.col("ticker") != F.col("like_ticker")) | (F.col("date") != F.col("like_date"))))
     w = Window.partitionBy("ticker", "metric", "date").orderBy("like_date", "like_ticker")
-    return j.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).drop("cell")
+    return j.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most).select("metric", "ticker", "date", "score", "like_ticker", "like_date", "like_score", "place")
 
 
 def _moments(wide: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:

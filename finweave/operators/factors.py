@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from finweave.functions.num import div
+from finweave.operators import pairs
 
 
 @dataclass
@@ -24,17 +25,16 @@ class Moments:
 def moments(returns: DataFrame) -> Moments:
     """Mean, covariance and days of (date, asset, ret) over days that all pairs
     share pairwise; k assets, so k * k numbers come to the driver."""
-    a = returns.select("date", F.col("asset").alias("a"), F.col("ret").alias("x")).filter("x is not null")
-    b = a.withColumnsRenamed({"a": "b", "x": "y"})
-    c = a.join(b, "date").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("c"), F.avg("x").alias("m"), F.count(F.lit(1)).alias("n")).collect()
+    c = pairs.with_covariance(pairs.pair_sums(returns)).select("a", "b", "covariance", "mean_a", "n").collect()
     assets = sorted({r["a"] for r in c})
     at = {x: i for i, x in enumerate(assets)}
     cov, mean = np.zeros((len(assets), len(assets))), np.zeros(len(assets))
     for r in c:
-        cov[at[r["a"]], at[r["b"]]] = r["c"] or 0.0
-        if r["a"] == r["b"]:
-            mean[at[r["a"]]] = r["m"]
-    return Moments(assets, mean, (cov + cov.T) / 2, max((r["n"] for r in c), default=0))
+        i, j = at[r["a"]], at[r["b"]]
+        cov[i, j] = cov[j, i] = r["covariance"] or 0.0
+        if i == j:
+            mean[i] = r["mean_a"]
+    return Moments(assets, mean, cov, max((r["n"] for r in c), default=0))
 
 
 def correlation(cov: np.ndarray) -> np.ndarray:

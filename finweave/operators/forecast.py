@@ -139,8 +139,18 @@ def forecasts(series: DataFrame, steps: int = 4, key: str = "ticker", order: str
     return series.select(key, order, value).groupBy(key).applyInPandas(run, kind)
 
 
+#: Models from the simplest on; ``best_model`` takes the simpler of equal ones.
+BY_SIZE = ("trend", "autoregression", "seasonal", "holt_winters", "ensemble")
+
+
 def best_model(rows: DataFrame, key: str = "ticker", figure: str = "rmse") -> DataFrame:
-    return rows.filter(F.col(figure).isNotNull()).groupBy(key).agg(F.min_by("model", F.struct(figure, "model")).alias("best_model"), F.min(figure).alias(figure))
+    """The model of least error. Errors that differ by less than a billionth of
+    the forecasts' size are equal (rounding decides nothing); then the simpler."""
+    size = F.array_position(F.array(*[F.lit(m) for m in BY_SIZE]), F.col("model"))
+    scaled = rows.filter(F.col(figure).isNotNull()).withColumn("__scale", F.max(F.abs("forecast")).over(Window.partitionBy(key)))
+    rank = F.struct(F.round(F.col(figure) / F.when(F.col("__scale") > 0, F.col("__scale")).otherwise(1.0), 9), F.when(size == 0, len(BY_SIZE) + 1).otherwise(size), F.col("model"))
+    best = scaled.groupBy(key).agg(F.min_by(F.struct("model", figure), rank).alias("b"))
+    return best.select(key, F.col("b.model").alias("best_model"), F.col(f"b.{figure}").alias(figure))
 
 
 def errors(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from finweave.functions import constants as K
 from finweave.functions.num import Series, div, norm_ppf
+from finweave.operators import pairs
 
 YEAR = 252
 S = Series()
@@ -115,10 +116,7 @@ def stress(returns: DataFrame, cases: DataFrame) -> DataFrame:
 
 def correlations(wide_long: DataFrame) -> DataFrame:
     """Pairwise correlation and covariance of (date, asset, ret), each pair once."""
-    a = wide_long.select("date", F.col("asset").alias("a"), F.col("ret").alias("x"))
-    b = wide_long.select("date", F.col("asset").alias("b"), F.col("ret").alias("y"))
-    j = a.join(b, "date").filter("a <= b and x is not null and y is not null")
-    return j.groupBy("a", "b").agg(F.corr("x", "y").alias("correlation"), F.covar_samp("x", "y").alias("covariance"))
+    return pairs.with_covariance(pairs.pair_sums(wide_long)).select("a", "b", "correlation", "covariance")
 
 
 def gpd_fit(excess: np.ndarray) -> tuple[float, float]:

@@ -73,12 +73,12 @@ def combined_anomalies(spark, sf_dir):
 @query(
     _ROWS
     + _STAT
-    + """, s AS (SELECT ticker, metric, date, score FROM stat WHERE metric = 'ret'), j AS (SELECT a.ticker, a.metric, a.date, a.score, b.ticker AS like_ticker, b.date AS like_date, b.score AS like_score,
+    + """, s AS (SELECT ticker, metric, date, score FROM stat), j AS (SELECT a.ticker, a.metric, a.date, a.score, b.ticker AS like_ticker, b.date AS like_date, b.score AS like_score,
     row_number() OVER (PARTITION BY a.ticker, a.metric, a.date ORDER BY b.date, b.ticker) AS place FROM s a JOIN s b ON a.metric = b.metric AND abs(a.score - b.score) < 0.5 AND (a.ticker <> b.ticker OR a.date <> b.date))
     SELECT ticker, metric, date, round(score, 6) AS score, like_ticker, like_date, round(like_score, 6) AS like_score, place FROM j WHERE place <= 5"""
 )
 def similar_anomalies(spark, sf_dir):
-    found = anomaly.statistical(_rows(spark, sf_dir)).filter("metric = 'ret'")
+    found = anomaly.statistical(_rows(spark, sf_dir))
     return rounded(anomaly.similar(found).withColumn("place", F.col("place").cast("long")))
 
 
