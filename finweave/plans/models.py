@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from finweave.functions import constants as K
-from finweave.functions.num import norm_ppf, rounded
-from finweave.operators import anomaly, arima, backtest, factors, forecast, insights, peers, ratios, reports, risk, trend
+from finweave.functions.num import Series, norm_ppf, rounded
+from finweave.operators import anomaly, arima, backtest, factors, forecast, insights, peers, ratios, refit, reports, risk, trend
 from finweave.operators.indicators import S as SERIES
 from finweave.plans.market import full
 from finweave.plans.registry import query
@@ -15,6 +15,7 @@ from finweave.sources import domain as D
 from finweave.streaming import windows
 
 S = D.sql
+SERIES_BY_QUARTER = Series(("ticker",), ("date",))
 _ROWS = _CALM + ", vals AS (SELECT ticker, 'ret' AS metric, date, ret AS value FROM rets UNION ALL SELECT ticker, 'close', date, close FROM calm)"
 _PART = "ticker, metric"
 
@@ -194,6 +195,31 @@ def sarimax_forecasts(spark, sf_dir):
     return arima.forecast_rows(arima.chosen(arima.fits(quarters(spark, sf_dir), SARIMAX_GRID, regressors=["x"])))
 
 
+_QUARTERS = """WITH byq AS (SELECT n_name AS ticker, date_trunc('quarter', o_orderdate) AS date, sum(CAST(round(o_totalprice * 100) AS BIGINT)) / 100.0::DOUBLE AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
+    scaled AS (SELECT ticker, date, value / avg(value) OVER (PARTITION BY ticker) AS y FROM byq),
+    lagged AS (SELECT ticker, date, y, lag(y) OVER (PARTITION BY ticker ORDER BY date) AS lag1 FROM scaled)"""
+
+
+@query(
+    _QUARTERS
+    + f""", drawn AS (SELECT l.*, r AS replicate, CASE WHEN r = 0 THEN 1 ELSE CAST('0x' || substr(md5(ticker || ':' || strftime(date, '%Y-%m-%d') || ':' || CAST((r - 1) // 4 AS VARCHAR)), (r - 1) % 4 * 8 + 1, 8) AS BIGINT) / 4294967296.0::DOUBLE END AS u FROM lagged l, range(101) reps(r) WHERE y IS NOT NULL AND lag1 IS NOT NULL),
+    weighed AS (SELECT *, CASE WHEN replicate = 0 THEN 1 ELSE {" + ".join(f"(u >= {p}::DOUBLE)::INT" for p in refit.POISSON)} END AS w FROM drawn),
+    sums AS (SELECT ticker, replicate, sum(w) AS n, sum(w * lag1) AS sx, sum(w * y) AS sy, sum(w * lag1 * lag1) AS sxx, sum(w * lag1 * y) AS sxy FROM weighed GROUP BY 1, 2),
+    fits AS (SELECT ticker, replicate, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b, (sy - sx * (n * sxy - sx * sy) / (n * sxx - sx * sx)) / n AS a FROM sums),
+    f1 AS (SELECT fits.*, a + b * last AS s1 FROM fits JOIN (SELECT ticker, arg_max(y, date) AS last FROM scaled GROUP BY 1) USING (ticker)), f2 AS (SELECT *, a + b * s1 AS s2 FROM f1), f3 AS (SELECT *, a + b * s2 AS s3 FROM f2), f4 AS (SELECT *, a + b * s3 AS s4 FROM f3),
+    each AS (UNPIVOT (SELECT ticker, replicate, s1, s2, s3, s4 FROM f4) ON s1, s2, s3, s4 INTO NAME step VALUE f)
+    SELECT ticker, CAST(substr(step, 2) AS INTEGER) AS step, round(max(CASE WHEN replicate = 0 THEN f END), 6) AS estimate, round(quantile_cont(CASE WHEN replicate > 0 THEN f END, 0.025), 6) AS lower, round(quantile_cont(CASE WHEN replicate > 0 THEN f END, 0.975), 6) AS upper, count(CASE WHEN replicate > 0 THEN f END) AS replicates FROM each GROUP BY 1, 2"""
+)
+def refit_forecasts(spark, sf_dir):
+    """Intervals of four quarters ahead of values (in units of the ticker's mean) on their last one, refitted 100 times."""
+    s = SERIES_BY_QUARTER
+    q = quarters(spark, sf_dir).withColumn("y", F.col("value") / F.avg("value").over(s.all)).withColumn("lag1", s.lag("y"))
+    row = F.concat("ticker", F.lit(":"), F.date_format("date", "yyyy-MM-dd"))
+    fitted = refit.refits(q, "y", ["lag1"], ["ticker"], row, 100)
+    last = q.groupBy("ticker").agg(F.max_by("y", "date").alias("value"), F.lit(0.0).alias("time"))
+    return rounded(refit.recursive_forecasts(fitted, last, ["ticker"], 4))
+
+
 TREND = trend.Trend(kinks=12, period=4.0, harmonics=1, regressors=("x",))
 
 
