@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from finweave.functions import constants as K
 from finweave.functions.num import Series, norm_ppf, rounded
-from finweave.operators import anomaly, arima, backtest, factors, forecast, insights, peers, ratios, refit, reports, risk, trend
+from finweave.operators import anomaly, arima, backtest, common, factors, forecast, insights, peers, ratios, refit, reports, risk, trend
 from finweave.operators.indicators import S as SERIES
 from finweave.plans.market import full
 from finweave.plans.registry import query
@@ -122,6 +122,18 @@ def factor_tests(spark, sf_dir):
     return spark.createDataFrame([(factors.kmo(c), x, p)], "kmo double, bartlett_chi2 double, bartlett_p double")
 
 
+@query()
+def common_factors(spark, sf_dir):
+    """Two common factors by maximum likelihood."""
+    return common.rows(spark, common.analyse(_panel(spark, sf_dir), 2))
+
+
+@query()
+def common_factor_scores(spark, sf_dir):
+    p = _panel(spark, sf_dir)
+    return common.scores(p, common.analyse(p, 2))
+
+
 @query()
 def portfolio_methods(spark, sf_dir):
     return factors.portfolios(spark, factors.moments(_panel(spark, sf_dir)))
