@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from finweave.functions import constants as K
 from finweave.functions.num import Series, norm_ppf, rounded
-from finweave.operators import anomaly, arima, backtest, common, factors, forecast, insights, peers, ratios, refit, reports, risk, trend
+from finweave.operators import anomaly, arima, backtest, boosting, common, factors, forecast, insights, peers, ratios, refit, reports, risk, trend
 from finweave.operators.indicators import S as SERIES
 from finweave.plans.market import full
 from finweave.plans.registry import query
@@ -266,6 +266,23 @@ def boosted_forecast(spark, sf_dir):
     return _tree(spark, sf_dir, "boosted")
 
 
+#: Parameters that are searched.
+TRIALS = [boosting.Trial(d, r, least) for d in (1, 2, 3) for r in (0.1, 0.3) for least in (1, 5)]
+_SEARCHED = ("Revenue_lag1", "Revenue_lag2", "NetIncome_lag1", "OperatingIncome_lag1", "ordinal")
+
+
+def search_rows(spark, sf_dir):
+    """Binned features of the year-on-year change of revenue, in four blocks of time."""
+    f = forecast.features(D.statements(spark, sf_dir))
+    return boosting.binned(f, boosting.edges(f, _SEARCHED), "Revenue_growth", boosting.time_blocks(f, "fiscal_year", 4), F.concat("ticker", F.lit(":"), F.col("fiscal_year").cast("string")))
+
+
+@query()
+def boosting_search(spark, sf_dir):
+    """Every trial's error at every rung of the search."""
+    return boosting.history_rows(spark, boosting.search(search_rows(spark, sf_dir), len(_SEARCHED), TRIALS, 3, (2, 4, 8)), TRIALS)
+
+
 @query(
     S("stmt")
     + """, p AS (SELECT ticker, Revenue AS actual, lag(Revenue) OVER (PARTITION BY ticker ORDER BY fiscal_year) AS predicted FROM stmt)
