@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from finweave.functions import constants as K
 from finweave.functions.num import Series, norm_ppf, rounded
-from finweave.operators import anomaly, arima, backtest, boosting, common, factors, forecast, insights, peers, ratios, refit, reports, risk, trend
+from finweave.operators import anomaly, arima, backtest, boosting, common, factors, forecast, insights, networks, peers, ratios, refit, reports, risk, trend
 from finweave.operators.indicators import S as SERIES
 from finweave.plans.market import full
 from finweave.plans.registry import query
@@ -266,6 +266,27 @@ def boosted_forecast(spark, sf_dir):
     return _tree(spark, sf_dir, "boosted")
 
 
+RECURRENT, EPOCHS = networks.Recurrent("gru", 6, 1, 8), 15
+
+
+@query()
+def recurrent_forecasts(spark, sf_dir):
+    """A recurrent net of all tickers' quarters."""
+    made = networks.windows(quarters(spark, sf_dir), RECURRENT.length).cache()
+    return networks.recurrent_forecasts(made, RECURRENT, networks.fit_recurrent(made, RECURRENT, EPOCHS))
+
+
+_LINE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query()
+def bottleneck_anomalies(spark, sf_dir):
+    """Order lines that a bottleneck tells worst: two in a hundred."""
+    lines, net = D.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *_LINE), networks.Bottleneck((4, 6, 2, 6, 4))
+    trained, units = networks.fit_bottleneck(lines, _LINE, net, EPOCHS)
+    return networks.odd_rows(lines, _LINE, net, trained, units, 0.98).filter("is_anomaly").drop("is_anomaly")
+
+
 #: Parameters that are searched.
 TRIALS = [boosting.Trial(d, r, least) for d in (1, 2, 3) for r in (0.1, 0.3) for least in (1, 5)]
 _SEARCHED = ("Revenue_lag1", "Revenue_lag2", "NetIncome_lag1", "OperatingIncome_lag1", "ordinal")
