@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import functions as F
 
 from finweave.functions import constants as K
 from finweave.functions import text as X
 from finweave.functions.num import rounded
-from finweave.operators import retrieval, text
+from finweave.operators import mentions, retrieval, text
 from finweave.plans.registry import query
 from finweave.sources import domain as D
+from finweave.sources.index import Index
 
 Q = "the tion of der"
 
@@ -124,6 +127,41 @@ def key_entities(spark, sf_dir):
     return text.key_entities(documents(spark, sf_dir))
 
 
+def _listed(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+@query(
+    rf"""WITH w AS (SELECT document_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM (SELECT doc_id AS document_id, list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS words FROM documents)),
+    t AS (SELECT document_id, pos, regexp_replace(word, '^[^\pL]+|[^\pL]+$', '', 'g') AS core, regexp_matches(word, '[^\pL]$') AS closed FROM w),
+    c AS (SELECT *, CASE WHEN lag(pos) OVER d = pos - 1 AND NOT lag(closed) OVER d THEN 0 ELSE 1 END AS opens FROM t WHERE regexp_matches(core, '^\p{{Lu}}\p{{Ll}}+$') WINDOW d AS (PARTITION BY document_id ORDER BY pos)),
+    r AS (SELECT *, sum(opens) OVER (PARTITION BY document_id ORDER BY pos) AS run FROM c),
+    s AS (SELECT document_id, min(pos) AS start, max(pos) AS last, string_agg(core, ' ' ORDER BY pos) AS entity FROM r GROUP BY document_id, run HAVING count(*) > 1),
+    m AS (SELECT s.document_id, start, entity, count(*) FILTER (lower(core) IN ({_listed(K.POSITIVE)})) AS p, count(*) FILTER (lower(core) IN ({_listed(K.NEGATIVE)})) AS n FROM s JOIN t ON t.document_id = s.document_id AND t.pos BETWEEN start - 10 AND last + 10 GROUP BY 1, 2, 3)
+    SELECT document_id, entity, count(*) AS mentions, CAST(sum(p) AS BIGINT) AS positive, CAST(sum(n) AS BIGINT) AS negative, round(avg(coalesce((p - n) / nullif(p + n, 0)::DOUBLE, 0)), 6) AS sentiment FROM m GROUP BY 1, 2"""
+)
+def entity_sentiment(spark, sf_dir):
+    return rounded(mentions.entity_sentiment(documents(spark, sf_dir)))
+
+
+def filings(spark, sf_dir):
+    """Documents as filings: source as ticker, a year from the id."""
+    return documents(spark, sf_dir).select(F.col("source").alias("ticker"), (F.pmod("document_id", F.lit(5)) + 2020).cast("int").alias("fiscal_year"), F.col("document_id").cast("string").alias("document_id"), "text")
+
+
+@query(
+    """WITH f AS (SELECT source AS ticker, CAST(2020 + doc_id % 5 AS INTEGER) AS fiscal_year, CAST(doc_id AS VARCHAR) AS document_id, coalesce(text, '') AS text FROM documents WHERE source IS NOT NULL),
+    c AS (SELECT ticker, fiscal_year, document_id, sha256(text) AS content, unnest(range(0, length(text), 1000)) AS pos, text FROM f)
+    SELECT ticker, fiscal_year, document_id, content, CAST(pos // 1000 AS INTEGER) AS chunk_index, md5(substr(text, pos + 1, 1200)) AS text_md5 FROM c"""
+)
+def index_passages(spark, sf_dir):
+    """Passages of an index that was built from all documents; building again writes nothing."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    index = Index(f"{folder}/passages/{spark.sparkContext.applicationId}/{md5(sf_dir.encode()).hexdigest()}")
+    index.build(filings(spark, sf_dir))
+    return index.chunks(spark).select("ticker", "fiscal_year", "document_id", "content", "chunk_index", F.md5("text").alias("text_md5"))
+
+
 @query()
 def corpus_topics(spark, sf_dir):
     return text.topics(documents(spark, sf_dir))
