@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from finweave.functions import constants as K
 from finweave.functions import text as X
 from finweave.functions.num import rounded
-from finweave.operators import mentions, retrieval, text
+from finweave.operators import mentions, retrieval, text, token_windows
 from finweave.plans.registry import query
 from finweave.sources import domain as D
 from finweave.sources.index import Index
@@ -127,6 +127,14 @@ def key_entities(spark, sf_dir):
     return text.key_entities(documents(spark, sf_dir))
 
 
+@query()
+def token_chunks(spark, sf_dir):
+    """Windows of 512 tokens, 64 of them shared with the next."""
+    import public_tokenizers
+
+    return token_windows.windows(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).drop("text")
+
+
 def _listed(words) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
