@@ -10,7 +10,8 @@ from finweave.operators import anomaly, arima, backtest, boosting, common, facto
 from finweave.operators.indicators import S as SERIES
 from finweave.plans.market import full
 from finweave.plans.registry import query
-from finweave.plans.risk import _CALM, calm_bars, calm_returns
+from finweave.plans.fundamentals import _BENCH
+from finweave.plans.risk import _CALM, _GROWTH, _METRICS, _MOMENTUM, _RUN, _SUMMARY, calm_bars, calm_returns
 from finweave.sources import domain as D
 from finweave.streaming import windows
 
@@ -384,17 +385,49 @@ def factor_risk(spark, sf_dir):
     return rounded(factors.risk_decomposition(r.filter("ticker = '1-URGENT'").select("date", "ret"), market))
 
 
-@query()
+def _lines(source: str, lines, formulas: dict[str, str]) -> str:
+    """Each line of a report from its formula, formatted as text."""
+    kinds = {"percent": "printf('%.2f%%', ({}) * 100)", "plain": "printf('%.3f', {})", "currency": "'USD ' || format('{{:,.2f}}', {})"}
+    items = ", ".join(f"{{'line': {i}::INT, 'metric': '{n}', 'value': coalesce({kinds[k].format(formulas.get(c, c))}, '-'), 'category': '{cat}'}}" for i, (n, c, k, cat) in enumerate(lines))
+    return f", lines AS (SELECT ticker, unnest([{items}]) AS x FROM {source}) SELECT ticker, x.line AS line, x.metric AS metric, x.value AS value, x.category AS category FROM lines"
+
+
+_RISK_FORMULAS = {
+    "cvar_95": "coalesce(t95, var_95)",
+    "volatility": "sd * sqrt(252)",
+    "downside_deviation": "coalesce(sqrt(neg2) * sqrt(252), 0)",
+    "sharpe_ratio": "coalesce((mean - 0.03 / 252) / nullif(sd, 0) * sqrt(252), 0)",
+    "sortino_ratio": "(mean - 0.03 / 252) / nullif(sqrt(ex2), 0) * sqrt(252)",
+    "calmar_ratio": "mean * 252 / nullif(max_drawdown, 0)",
+    "omega_ratio": "gains / nullif(losses, 0)",
+}
+_RUN_FORMULAS = {
+    "total_return": "growth - 1",
+    "annual_return": "CASE WHEN growth > 0 THEN pow(growth, 252.0 / n) - 1 END",
+    "sharpe_ratio": "(mean - 0.02 / 252) / nullif(sd, 0) * sqrt(252)",
+    "max_drawdown": "dd",
+    "var_95": "-q05",
+    "win_rate": "wins / nullif(trades, 0)",
+    "profit_factor": "won / nullif(lost, 0)",
+    "final_equity": "growth * 100000",
+}
+
+
+@query(_CALM + _GROWTH + _METRICS + ", told AS (SELECT * FROM b JOIN t USING (ticker) JOIN dd USING (ticker))" + _lines("told", reports.RISK_ROWS, _RISK_FORMULAS))
 def risk_report(spark, sf_dir):
     return reports.figures(risk.metrics(calm_returns(spark, sf_dir)), reports.RISK_ROWS)
 
 
-@query()
+@query(_MOMENTUM + _RUN + _SUMMARY + _lines("b", reports.BACKTEST_ROWS, _RUN_FORMULAS))
 def performance_report(spark, sf_dir):
     return reports.figures(backtest.summary(backtest.run(backtest.momentum(calm_bars(spark, sf_dir)))), reports.BACKTEST_ROWS)
 
 
-@query()
+@query(
+    _BENCH
+    + """ SELECT ticker, metric_name, coalesce(printf('%.3f', company_value), '-') AS company, coalesce(printf('%.3f', peer_median), '-') AS median, coalesce(printf('%.1f%%', (company_value - peer_median) / nullif(abs(peer_median), 0) * 100), '-') AS vs_median,
+    printf('%.1f', percentile_rank) AS percentile, relative_performance FROM bench WHERE metric_name IN ('gross_margin', 'roe')"""
+)
 def benchmark_report(spark, sf_dir):
     names = ["gross_margin", "roe"]
     rows = ratios.stored(D.statements(spark, sf_dir).filter("fiscal_year = 1997")).unpivot("ticker", names, "metric_name", "value")

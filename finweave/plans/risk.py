@@ -45,16 +45,19 @@ def _cf(z: float) -> str:
     return f"-(mean + sd0 * ({z}::DOUBLE + ({z}::DOUBLE ^ 2 - 1) * skew / 6 + ({z}::DOUBLE ^ 3 - 3 * {z}::DOUBLE) * kurt / 24 - (2 * {z}::DOUBLE ^ 3 - 5 * {z}::DOUBLE) * skew * skew / 36))"
 
 
-@query(
-    _RET
-    + _GROWTH
-    + f""", m AS (SELECT ticker, count(ret) AS n, avg(ret) AS mean, stddev_samp(ret) AS sd, stddev_pop(ret) AS sd0, var_samp(ret) AS v, kurtosis_pop(ret) AS kurt, quantile_cont(ret, 0.01) AS q1, quantile_cont(ret, 0.05) AS q5, quantile_cont(ret, 0.95) AS q95 FROM rets GROUP BY 1),
+_METRICS = f""", m AS (SELECT ticker, count(ret) AS n, avg(ret) AS mean, stddev_samp(ret) AS sd, stddev_pop(ret) AS sd0, var_samp(ret) AS v, kurtosis_pop(ret) AS kurt, quantile_cont(ret, 0.01) AS q1, quantile_cont(ret, 0.05) AS q5, quantile_cont(ret, 0.95) AS q95 FROM rets GROUP BY 1),
     k AS (SELECT r.ticker, avg((ret - mean) ^ 3) / pow(avg((ret - mean) ^ 2), 1.5) AS skew FROM rets r JOIN m USING (ticker) WHERE ret IS NOT NULL GROUP BY 1),
     b AS (SELECT *, -(mean + sd0 * {_Z95}::DOUBLE) AS var_95, -(mean + sd0 * {_Z99}::DOUBLE) AS var_99, {_cf(_Z95)} AS cornish_fisher_var_95, {_cf(_Z99)} AS cornish_fisher_var_99 FROM m JOIN k USING (ticker)),
     t AS (SELECT r.ticker, -avg(ret) FILTER (ret <= -var_95) AS t95, -avg(ret) FILTER (ret <= -var_99) AS t99, avg(ret * ret) FILTER (ret < 0) AS neg2, avg(ret) FILTER (ret > 0) AS up, sum(ret) FILTER (ret > 0) AS gains, -sum(ret) FILTER (ret < 0) AS losses,
       avg((ret - 0.03 / 252) ^ 2) FILTER (ret - 0.03 / 252 < 0) AS ex2, avg(CASE WHEN ret < -var_95 THEN 1.0 ELSE 0.0 END) AS breach FROM rets r JOIN b USING (ticker) WHERE ret IS NOT NULL GROUP BY 1),
-    dd AS (SELECT ticker, -min(growth / peak - 1) AS max_drawdown FROM peaked WHERE ret IS NOT NULL GROUP BY 1)
-    SELECT ticker, n, {", ".join(f"round({c}, 6) AS {c}" for c in ("var_95", "var_99", "cornish_fisher_var_95", "cornish_fisher_var_99", "max_drawdown"))}, round(-q5, 6) AS historical_var_95, round(-q1, 6) AS historical_var_99,
+    dd AS (SELECT ticker, -min(growth / peak - 1) AS max_drawdown FROM peaked WHERE ret IS NOT NULL GROUP BY 1)"""
+
+
+@query(
+    _RET
+    + _GROWTH
+    + _METRICS
+    + f"""SELECT ticker, n, {", ".join(f"round({c}, 6) AS {c}" for c in ("var_95", "var_99", "cornish_fisher_var_95", "cornish_fisher_var_99", "max_drawdown"))}, round(-q5, 6) AS historical_var_95, round(-q1, 6) AS historical_var_99,
     round(coalesce(t95, var_95), 6) AS cvar_95, round(coalesce(t99, var_99), 6) AS cvar_99, round(sd * sqrt(252), 6) AS volatility, round(coalesce((mean - 0.03 / 252) / nullif(sd, 0) * sqrt(252), 0), 6) AS sharpe_ratio,
     round((mean - 0.03 / 252) / nullif(sqrt(ex2), 0) * sqrt(252), 6) AS sortino_ratio, round(mean * 252 / nullif(max_drawdown, 0), 6) AS calmar_ratio, round(coalesce(sqrt(neg2) * sqrt(252), 0), 6) AS downside_deviation, round(up / nullif(sqrt(neg2), 0), 6) AS upside_potential,
     round(gains / nullif(losses, 0), 6) AS omega_ratio, round(abs(q95 / nullif(q5, 0)), 6) AS tail_ratio, round(breach, 6) AS var_breach_probability, round(coalesce(mean / nullif(v, 0) * 0.25, 0), 6) AS kelly_fraction,
@@ -124,13 +127,16 @@ def momentum_backtest(spark, sf_dir):
     return rounded(r.select("ticker", "date", "signal", "position", "trade", "net", "equity", "drawdown"), equity=3)
 
 
+_SUMMARY = """, b AS (SELECT ticker, count(*) AS n, exp(sum(ln(1 + net))) AS growth, avg(net) AS mean, stddev_samp(net) AS sd, avg(net * net) FILTER (net < 0) AS neg2, -min(drawdown) AS dd, quantile_cont(net, 0.05) AS q05, CAST(count(*) FILTER (trade > 0) AS BIGINT) AS trades,
+    count(*) FILTER (trade > 0 AND net > 0) AS wins, sum(net) FILTER (trade > 0 AND net > 0) AS won, -sum(net) FILTER (trade > 0 AND net < 0) AS lost, avg(CASE WHEN position <> 0 THEN 1.0 ELSE 0 END) AS time_in_market, sum(trade * 0.002::DOUBLE) AS total_cost FROM ran WHERE net IS NOT NULL GROUP BY 1),
+    t AS (SELECT ticker, avg(net) AS tail FROM ran JOIN b USING (ticker) WHERE net <= q05 GROUP BY 1)"""
+
+
 @query(
     _REVERSION
     + _RUN
-    + """, b AS (SELECT ticker, count(*) AS n, exp(sum(ln(1 + net))) AS growth, avg(net) AS mean, stddev_samp(net) AS sd, avg(net * net) FILTER (net < 0) AS neg2, -min(drawdown) AS dd, quantile_cont(net, 0.05) AS q05, CAST(count(*) FILTER (trade > 0) AS BIGINT) AS trades,
-    count(*) FILTER (trade > 0 AND net > 0) AS wins, sum(net) FILTER (trade > 0 AND net > 0) AS won, -sum(net) FILTER (trade > 0 AND net < 0) AS lost, avg(CASE WHEN position <> 0 THEN 1.0 ELSE 0 END) AS time_in_market, sum(trade * 0.002::DOUBLE) AS total_cost FROM ran WHERE net IS NOT NULL GROUP BY 1),
-    t AS (SELECT ticker, avg(net) AS tail FROM ran JOIN b USING (ticker) WHERE net <= q05 GROUP BY 1)
-    SELECT ticker, trades, round(growth - 1, 6) AS total_return, round(CASE WHEN growth > 0 THEN pow(growth, 252.0 / n) - 1 END, 6) AS annual_return, round(sd * sqrt(252), 6) AS volatility, round((mean - 0.02 / 252) / nullif(sd, 0) * sqrt(252), 6) AS sharpe_ratio,
+    + _SUMMARY
+    + """SELECT ticker, trades, round(growth - 1, 6) AS total_return, round(CASE WHEN growth > 0 THEN pow(growth, 252.0 / n) - 1 END, 6) AS annual_return, round(sd * sqrt(252), 6) AS volatility, round((mean - 0.02 / 252) / nullif(sd, 0) * sqrt(252), 6) AS sharpe_ratio,
     round((mean - 0.02 / 252) / nullif(sqrt(neg2), 0) * sqrt(252), 6) AS sortino_ratio, round(dd, 6) AS max_drawdown, round((pow(growth, 252.0 / n) - 1) / nullif(dd, 0), 6) AS calmar_ratio, round(-q05, 6) AS var_95, round(-tail, 6) AS cvar_95, round(wins / nullif(trades, 0), 6) AS win_rate,
     round(won / nullif(lost, 0), 6) AS profit_factor, round(time_in_market, 6) AS time_in_market, round(total_cost, 6) AS total_cost, round(growth * 100000, 3) AS final_equity FROM b JOIN t USING (ticker)"""
 )
