@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finweave.functions import constants as K
-from finweave.functions.num import Series, div, norm_ppf
+from finweave.functions.num import Series, div, norm_ppf, norm_ppf_col
 from finweave.operators import pairs
 
 YEAR = 252
@@ -175,15 +175,21 @@ def model_vars(returns: DataFrame, confidence: float = 0.95) -> DataFrame:
     return returns.select("ticker", "date", "ret").groupBy("ticker").applyInPandas(run, "ticker string, evt_var double, garch_var double")
 
 
+def normal_draws(name: Column, n: int) -> Column:
+    """n normal values, an array: quantiles of the first 8 digits of md5s of
+    the name and a number, so they are the same in any partitioning."""
+    u = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda d: (F.conv(F.substring(F.md5(F.concat(name, F.lit(":"), d.cast("string"))), 1, 8), 16, 10).cast("double") + 0.5) / 2.0**32)
+    return F.transform(u, norm_ppf_col)
+
+
 def monte_carlo(returns: DataFrame, paths: int = 1000, days: int = 252, confidence: float = 0.95, seed: int = 42) -> DataFrame:
     """Normal paths from each ticker's daily moments: mean, spread, loss
-    chance, value at risk of the end value. Paths are rows of a range, so more
-    of them are more tasks."""
-    spark = returns.sparkSession
+    chance, value at risk of the end value. A path is one row, its days are an
+    array; draws follow from seed, ticker, path and day."""
     m = returns.filter("ret is not null").groupBy("ticker").agg(F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"))
-    sim = spark.range(paths).select(F.col("id").alias("path")).crossJoin(F.broadcast(m))
-    steps = sim.withColumn("day", F.explode(F.sequence(F.lit(1), F.lit(days))))
-    ends = steps.withColumn("r", F.col("mean") + F.col("sd") * F.randn(seed)).groupBy("ticker", "path").agg((F.product(1 + F.col("r")) - 1).alias("total"))
+    sim = m.withColumn("path", F.explode(F.sequence(F.lit(1), F.lit(paths))))
+    sim = sim.repartition("ticker", "path").withColumn("z", normal_draws(F.concat(F.lit(f"{seed}:"), F.col("ticker"), F.lit(":"), F.col("path").cast("string")), days))
+    ends = sim.withColumn("total", F.aggregate("z", F.lit(1.0), lambda a, z: a * (1 + F.col("mean") + F.col("sd") * z)) - 1)
     t = F.col("total")
     return ends.groupBy("ticker").agg(
         F.count(t).alias("paths"), F.avg(t).alias("mean_return"), F.percentile(t, F.lit(0.5)).alias("median_return"), F.stddev_samp(t).alias("std_return"), F.avg((t < 0).cast("double")).alias("loss_probability"),

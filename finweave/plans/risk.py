@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from finweave.functions import constants as K
+from finweave.functions import num
 from finweave.functions.num import norm_ppf, rounded
 from finweave.operators import backtest, risk
 from finweave.operators.indicators import S as SERIES
@@ -193,9 +194,29 @@ def rebalancing(spark, sf_dir):
     return rounded(backtest.rebalance(target, current, prices, 1e6, 0.001))
 
 
-@query()
+def _poly(cs, x: str) -> str:
+    out = f"{cs[0]}::DOUBLE"
+    for c in cs[1:]:
+        out = f"({out} * {x} + {c}::DOUBLE)"
+    return out
+
+
+#: The normal quantile of u with the coefficients of the operator's approximation.
+_PPF = f"""CASE WHEN least(u, 1 - u) < 0.02425 THEN sign(0.5 - u) * {_poly(num._C, "q")} / ({_poly(num._D, "q")} * q + 1)
+      ELSE {_poly(num._A, "r")} * (u - 0.5) / ({_poly(num._B, "r")} * r + 1) END"""
+
+
+@query(
+    _CALM
+    + f""", m AS (SELECT ticker, avg(ret) AS mean, stddev_samp(ret) AS sd FROM rets WHERE ret IS NOT NULL GROUP BY 1),
+    us AS (SELECT m.*, path, (CAST('0x' || substr(md5('42:' || ticker || ':' || path || ':' || day), 1, 8) AS BIGINT) + 0.5) / 4294967296.0::DOUBLE AS u FROM m, range(1, 201) paths(path), range(1, 61) days(day)),
+    zs AS (SELECT *, sqrt(-2 * ln(least(u, 1 - u))) AS q, (u - 0.5) * (u - 0.5) AS r FROM us),
+    ends AS (SELECT ticker, path, exp(sum(ln(1 + mean + sd * ({_PPF})))) - 1 AS total FROM zs GROUP BY 1, 2)
+    SELECT ticker, count(*) AS paths, round(avg(total), 6) AS mean_return, round(quantile_cont(total, 0.5), 6) AS median_return, round(stddev_samp(total), 6) AS std_return, round(avg(CASE WHEN total < 0 THEN 1.0 ELSE 0.0 END), 6) AS loss_probability,
+    round(-quantile_cont(total, 0.05), 6) AS var, round(min(total), 6) AS worst, round(max(total), 6) AS best FROM ends GROUP BY 1"""
+)
 def monte_carlo(spark, sf_dir):
-    return risk.monte_carlo(calm_returns(spark, sf_dir), paths=200, days=60)
+    return rounded(risk.monte_carlo(calm_returns(spark, sf_dir), paths=200, days=60))
 
 
 @query()

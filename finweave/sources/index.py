@@ -58,7 +58,7 @@ class Index:
         here = hashed(filings).withColumn("settings", F.lit(self.settings)).select(there.columns).distinct()
         both = here.withColumn("side", F.lit(1)).unionByName(there.withColumn("side", F.lit(2)))
         each = both.groupBy(*there.columns).agg(F.sum("side").alias("side"))
-        return each.groupBy(*PARTITION).agg(F.min("side").alias("least"), F.max(F.col("side") % 2).alias("mine"), F.max((F.col("side") != 3).cast("int")).alias("differs")).filter("mine = 1 and differs = 1").select(*PARTITION)
+        return each.groupBy(*PARTITION).agg(F.max(F.col("side") % 2).alias("mine"), F.max((F.col("side") != 3).cast("int")).alias("differs")).filter("mine = 1 and differs = 1").select(*PARTITION)
 
     def build(self, filings: DataFrame) -> int:
         """Brings the index up to (ticker, fiscal_year, document_id, text);

@@ -375,3 +375,16 @@ def test_ml_features_by_hand(spark):
         crossed = i > 0 and macd[i] > signal[i] + 1e-12 and macd[i - 1] <= signal[i - 1] + 1e-12
         assert r["macd_cross_up"] == int(crossed)
     assert got[0]["rsi_oversold"] == 0
+
+
+def test_simulated_paths_have_the_moments_asked_for(spark):
+    """Draws are normal, and end values those of the closed form, in any partitioning."""
+    d = spark.range(300).select(F.col("id").cast("string").alias("n"))
+    z = np.array([r[0] for r in d.select(risk.normal_draws(F.col("n"), 60)).collect()])
+    assert abs(z.mean()) < 0.02 and abs(z.std() - 1) < 0.02 and abs((z < 1.6449).mean() - 0.95) < 0.01 and np.abs(np.corrcoef(z.T)[np.triu_indices(60, 1)]).max() < 0.25
+    r = spark.createDataFrame([("a", i, v) for i, v in enumerate([0.01, -0.008, 0.004] * 30)], "ticker string, date int, ret double")
+    one, two = risk.monte_carlo(r.repartition(1), 2000, 40).first(), risk.monte_carlo(r.repartition(5), 2000, 40).first()
+    assert all(np.isclose(a, b) for a, b in zip(one[1:], two[1:], strict=True))
+    x = np.array([0.01, -0.008, 0.004] * 30)
+    m, v = 1 + x.mean(), x.var(ddof=1)
+    assert abs(one["mean_return"] - (m**40 - 1)) < 4 * one["std_return"] / 2000**0.5 and abs(one["std_return"] / ((m * m + v) ** 40 - m**80) ** 0.5 - 1) < 0.08
