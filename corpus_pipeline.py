@@ -34,7 +34,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the weights of their sources say; a null source is one of its own, texts without words are not taken."""
+    """Documents as often as the weights of their sources say; a null source is one of its own."""
     return mixing.mix(docs, weights=(5, 2, 1), most=3.0)
 
 
