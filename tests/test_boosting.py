@@ -88,13 +88,13 @@ def test_planted_best_of_a_grid(spark):
     y = 3 * np.sign(x[:, 0] - 0.1) * np.sign(x[:, 1] + 0.1) + 0.2 * g.normal(size=1200)
     rows, _ = prepared(spark, x, y, np.arange(1200), 4)
     trials = [Trial(1, 0.5), Trial(1, 0.1), Trial(3, 0.02), Trial(3, 0.5), Trial(2, 0.02), Trial(3, 0.01, share=0.5)]
-    found = boosting.search(rows, 3, trials, 3, (2, 4, 8))
+    found = boosting.search(rows, 3, trials, 3, (1, 2, 4))
     assert found.best == trials[3]
     rungs = {r: [h for h in found.history if h[0] == r] for r in range(3)}
     assert [len(rungs[r]) for r in range(3)] == [6, 3, 1] and all({h[1] for h in rungs[r] if h[4]} == {h[1] for h in rungs[r + 1]} for r in range(2))
     assert rungs[2][0][3] < 1.2 and boosting.history_rows(spark, found, trials).count() == 10
     bins = np.array([r["bins"] for r in rows.collect()])
-    assert len(found.model.trees) == 8 and found.model.predict(bins).std() > 2
+    assert len(found.model.trees) == 4 and found.model.predict(bins).std() > 2
 
 
 @pytest.mark.parametrize("rows", [[], [(1, 1, None, 1.0)], [(1, 1, 2.0, None), (2, 2, 4.0, None)]])

@@ -47,7 +47,7 @@ def test_planted_recurrence(spark, cell):
     df = spark.createDataFrame(series(), "ticker string, date int, value double")
     made = networks.windows(df, 8).cache()
     assert {r[0] for r in made.select("ticker").distinct().collect()} == {"a", "b"}
-    trained = networks.fit_recurrent(made, net, 70, 0.03)
+    trained = networks.fit_recurrent(made, net, 45, 0.05)
     rows = made.filter("y is not null").collect()
     x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])
     assert trained.losses[-1] < 0.08 * trained.losses[0] and ((net.predict(trained.theta, x) - y) ** 2).mean() < 0.15 * ((x[:, -1] - y) ** 2).mean()
@@ -99,7 +99,7 @@ def test_planted_oddities(spark):
     x[odd, 1] = -x[odd, 1]
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + [(5000, None, None, None, None)], "i int, a double, b double, c double, d double")
     net = Bottleneck((4, 6, 1, 6, 4))
-    trained, units = networks.fit_bottleneck(df, list("abcd"), net, 120, 0.03)
+    trained, units = networks.fit_bottleneck(df, list("abcd"), net, 60, 0.05)
     got = {r["i"]: r for r in networks.odd_rows(df, list("abcd"), net, trained, units, 0.97).collect()}
     assert trained.losses[-1] < 0.4 * trained.losses[0] and len(got) == 1501
     far = [i for i in odd if abs(t[i]) > 0.5]
