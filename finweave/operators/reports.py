@@ -9,9 +9,10 @@ from finweave.functions.num import div
 
 
 def currency(value: Column, code: str = "USD", digits: int = 2) -> Column:
-    """ "USD 1,234.00"; a dash for null and NaN."""
-    v = F.nanvl(value.cast("double"), F.lit(None))
-    return F.coalesce(F.concat(F.lit(f"{code} "), F.format_number(v, digits)), F.lit("-"))
+    """ "USD 1,234.00"; a dash for null and NaN, "inf" for infinity. Zero has no sign."""
+    v = F.nanvl(value.cast("double"), F.lit(None)) + F.lit(0.0)
+    told = F.when(v == float("inf"), "inf").when(v == float("-inf"), "-inf").otherwise(F.format_number(v, digits))
+    return F.coalesce(F.concat(F.lit(f"{code} "), told), F.lit("-"))
 
 
 def percent(value: Column, digits: int = 1) -> Column:
