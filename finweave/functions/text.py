@@ -27,6 +27,10 @@ def clean_filing(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\n\s*\n\s*", "\n\n"))
 
 
+#: A run of what is in no word. Its letters are listed for speed alone: they are the first test.
+NO_WORD = r"(?U)[^a-zA-Z\w]+"
+
+
 def plain_words(text: Column) -> Column:
     """Everything but letters, digits and underscores as single blanks."""
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?U)[^\w\s]", " "), r"(?U)\s+", " "))

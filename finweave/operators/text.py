@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -244,14 +245,61 @@ def key_entities(docs: DataFrame, most: int = 10) -> DataFrame:
     return e.orderBy(F.desc("mentions"), "entity").limit(most).crossJoin(F.broadcast(total)).select("entity", "mentions", (F.col("mentions") / F.col("total")).alias("share"))
 
 
+def term_words(text: Column) -> Column:
+    """Words of three characters or more: runs of letters, digits and underscores, in lower case."""
+    return F.filter(F.transform(F.split(text, X.NO_WORD), F.lower), lambda w: F.length(w) > 2)
+
+
+def word_pairs(words: Column) -> Column:
+    """Neighbours among the words; null where one of them is null."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+#: Words that pairs are looked for among; where more are tied at the last place, all pairs are counted.
+TIED = 10_000
+
+
+def common_words(docs: DataFrame, most: int) -> list[str] | None:
+    """The words that may be in one of the ``most`` most common terms of
+    (words), None for all words: a pair is at most as common as either of its
+    words, so these are the words as common as the last of the ``most`` best."""
+    counts = docs.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).cache()
+    best = counts.orderBy(F.desc("n"), "term").limit(most).collect()
+    least = best[-1]["n"] if len(best) == most else 1
+    found = [r["term"] for r in counts.filter(F.col("n") >= least).select("term").limit(TIED + 1).collect()]
+    counts.unpersist()
+    return found if len(found) <= TIED else None
+
+
+def with_terms(docs: DataFrame, among: list[str] | None) -> DataFrame:
+    """terms: words and pairs of neighbours that hold no other words than these."""
+    d = docs.select((F.transform("words", lambda w: F.when(w.isin(among), w)) if among is not None else F.col("words")).alias("kept"))
+    terms = F.filter(F.concat("kept", word_pairs(F.col("kept"))), lambda t: t.isNotNull())
+    return d.select(F.coalesce(terms, F.array().cast("array<string>")).alias("terms"))
+
+
+def common_terms(terms: DataFrame, most: int) -> list[str]:
+    """The most common of (terms), ties by name."""
+    counts = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return [r["term"] for r in counts.orderBy(F.desc("n"), "term").limit(most).collect()]
+
+
 def topics(docs: DataFrame, k: int = 10, vocabulary: int = 100, terms: int = 5, rounds: int = 10) -> DataFrame:
-    """Topics of the corpus: counts of one- and two-word terms, LDA."""
+    """Topics of the corpus: counts of one- and two-word terms, LDA.
+
+    Texts are read twice, for the words and for the terms that may be in the
+    vocabulary. The terms and then their counts are kept, in memory or on disk:
+    rounds go over the counts, not over texts."""
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer, NGram
-
-    d = docs.select("document_id", F.filter(F.split(F.lower(X.plain_words(F.col("text"))), " "), lambda w: F.length(w) > 2).alias("words"))
-    d = NGram(n=2, inputCol="words", outputCol="pairs").transform(d).withColumn("terms", F.concat("words", "pairs"))
-    cv = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=vocabulary).fit(d)
-    lda = LDA(k=k, seed=42, maxIter=rounds).fit(cv.transform(d).select("features"))
-    names = F.array(*[F.lit(v) for v in cv.vocabulary])
-    return lda.describeTopics(terms).select("topic", F.transform("termIndices", lambda i: F.get(names, i)).alias("terms"), F.col("termWeights").alias("weights"))
+    from pyspark.ml.feature import CountVectorizerModel
+
+    d = docs.select(term_words(F.col("text")).alias("words"))
+    held = with_terms(d, common_words(d, vocabulary)).persist(StorageLevel.DISK_ONLY)
+    names = common_terms(held, vocabulary)
+    cv = CountVectorizerModel.from_vocabulary(names, inputCol="terms", outputCol="features")
+    counts = cv.transform(held).select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    found = LDA(k=k, seed=42, maxIter=rounds).fit(counts).describeTopics(terms)
+    counts.unpersist()
+    held.unpersist()
+    return found.select("topic", F.transform("termIndices", lambda i: F.get(F.array(*[F.lit(v) for v in names]), i)).alias("terms"), F.col("termWeights").alias("weights"))
