@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql.window import Window
 
 from finweave.functions import constants as K
 from finweave.functions import text as X
+from finweave.operators.batches import bounded, slices
 
 
 def described(rows: DataFrame) -> DataFrame:
@@ -94,13 +96,37 @@ def by_paragraph(text: str, size: int, overlap: int) -> list[str]:
     return out + (["\n\n".join(open_)] if open_ else [])
 
 
-_PATTERNS = [(item, re.compile(p)) for item, (_, p) in K.SECTIONS.items()] + [(item, re.compile(p, re.M)) for item, ps in K.SECTION_ALTERNATES.items() for p in ps]
+#: What folded text holds of each pattern; patterns that begin with "item" are tried where that word is, others are searched if all their words are there.
+_FOLDED = [(item, re.compile(p.replace("(?i)", ""))) for item, (_, p) in K.SECTIONS.items()]
+_SEARCHED = [(item, re.compile(q, re.M), re.findall(r"(?:[a-z]|\\&)+", re.sub(r"\\[a-z]", " ", q))) for item, ps in K.SECTION_ALTERNATES.items() for q in (p.replace("(?i)", "") for p in ps)]
+_SEARCHED = [(item, p, [w.replace("\\", "") for w in words]) for item, p, words in _SEARCHED]
+_ODD = str.maketrans("\u0130\u0131\u017f", "iis")
+
+
+def folded(text: str) -> str:
+    """The text in lower case, place by place, as patterns that ignore case read it."""
+    return (text if text.isascii() else text.translate(_ODD) if any(c in text for c in "\u0130\u0131\u017f") else text).lower()
+
+
+def openings(text: str) -> set[tuple[int, str]]:
+    """(start, item) of every place where an item opens."""
+    low = folded(text)
+    found = {(m.start(), item) for item, p, words in _SEARCHED if all(w in low for w in words) for m in p.finditer(low)}
+    ends = [0] * len(_FOLDED)
+    at = low.find("item")
+    while at >= 0:
+        for k, (item, p) in enumerate(_FOLDED):
+            if at >= ends[k] and (m := p.match(low, at)):
+                found.add((at, item))
+                ends[k] = m.end()
+        at = low.find("item", at + 1)
+    return found
 
 
 def find_sections(text: str, least: int = 100, most: int = 500_000) -> list[tuple[str, int, str]]:
     """(item, start, text) between the places where items open; short ones are
     left out; the last occurrence of an item counts."""
-    found = sorted({(m.start(), item) for item, p in _PATTERNS for m in p.finditer(text)})
+    found = sorted(openings(text))
     out = {}
     for i, (at, item) in enumerate(found):
         body = text[at : found[i + 1][0] if i + 1 < len(found) else len(text)].strip()
@@ -113,14 +139,15 @@ def sections(docs: DataFrame) -> DataFrame:
     """document_id, item, title, start and text of a filing's items. Match
     positions are beyond SQL, so documents go through in Arrow batches."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(d, *s) for d, t in zip(b["document_id"], b["text"], strict=True) for s in find_sections(t or "")]
-            yield pd.DataFrame(rows, columns=["document_id", "item", "start", "text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            rows = [(i, *s) for i, t in enumerate(b["text"].to_pylist()) for s in find_sections(t or "")]
+            i, item, start, text = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([b["document_id"].take(pa.array(i, pa.int64())), pa.array(item, pa.string()), pa.array(start, pa.int64()), pa.array(text, pa.string())], names=["document_id", "item", "start", "text"])
 
     kind = docs.schema["document_id"].dataType.simpleString()
     titles = F.create_map(*[x for i, (t, _) in K.SECTIONS.items() for x in (F.lit(i), F.lit(t))])
-    s = docs.select("document_id", "text").mapInPandas(run, f"document_id {kind}, item string, start long, text string")
+    s = bounded(docs).select("document_id", "text").mapInArrow(run, f"document_id {kind}, item string, start long, text string")
     return s.withColumn("title", titles[F.col("item")])
 
 
