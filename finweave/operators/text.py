@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -57,27 +58,32 @@ def packed(text: str, size: int = 1000, overlap: int = 200) -> list[str]:
     return out + [" ".join(cur)] if cur else out
 
 
-def sentence_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
-    """Greedy packing carries state from sentence to sentence, so it is a
-    vectorised Python step over batches of documents."""
+def cut_by(docs: DataFrame, cut: Callable[[str], list[str]]) -> DataFrame:
+    """Described chunks of (document_id, text) by a function of a text, which
+    runs on slices of bounded size and gives its rows slice by slice."""
 
-    @F.pandas_udf("array<string>")
-    def pack(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: packed(t or "", size, overlap))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            parts = [cut(t or "") for t in b["text"].to_pylist()]
+            n = np.array([len(p) for p in parts], np.int64)
+            index = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([b["document_id"].take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(index, pa.int32()), pa.array([c for p in parts for c in p], pa.string())], names=["document_id", "chunk_index", "text"])
 
-    return chunks(docs, pack(X.clean(F.col("text"))))
+    kind = docs.schema["document_id"].dataType.simpleString()
+    return described(bounded(docs).select("document_id", "text").mapInArrow(run, f"document_id {kind}, chunk_index int, text string"))
+
+
+def sentence_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
+    """Greedy packing carries state from sentence to sentence, so it is a
+    Python step over slices of documents."""
+    return cut_by(docs.select("document_id", X.clean(F.col("text")).alias("text")), lambda t: packed(t, size, overlap))
 
 
 def paragraph_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
     """Whole paragraphs (parts between blank lines, trimmed) together while
     they have at most ``size`` characters; a longer one is cut by sentences.
     Texts without paragraphs give no row."""
-
-    @F.pandas_udf("array<string>")
-    def pack(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: by_paragraph(t or "", size, overlap))
-
-    return chunks(docs, pack(F.col("text")))
+    return cut_by(docs, lambda t: by_paragraph(t, size, overlap))
 
 
 def by_paragraph(text: str, size: int, overlap: int) -> list[str]:
