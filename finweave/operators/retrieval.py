@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from finweave.functions.num import div
+from finweave.operators.batches import bounded
 
 # Okapi parameters, the share of the mean that negative idf is raised to, the fusion constant.
 K1, B, EPSILON, RRF = 1.5, 0.75, 0.25, 60
@@ -78,10 +81,33 @@ def fused(ranked: Sequence[tuple[DataFrame, str, float]], k: int = 6, depth: int
     return parts.groupBy("id").agg(F.sum("part").alias("rrf_score")).orderBy(F.desc("rrf_score"), "id").limit(k)
 
 
-def embed(docs: DataFrame, size: int = 64) -> DataFrame:
-    """A deterministic embedding: hashed words, signed, sublinear counts,
-    scaled to length 1. Stands in where no model is at hand. Slots of a
-    document are added up in partial aggregates."""
+def _slots(docs: DataFrame, size: int) -> DataFrame:
+    """id and embedding of each row by itself, from the hashes of its words; rows without words have none."""
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b["h"].value_lengths().to_numpy(zero_copy_only=False)
+            h, row = b["h"].flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))) if len(h) else np.zeros(0, np.int64)
+            tf = np.diff(np.append(first, len(h)))
+            h, row = h[first], row[first]
+            v = np.where((h >> 32) & 1, -1.0, 1.0) * (1 + np.log(tf))
+            total = np.bincount(row * size + h % size, v, len(n) * size).astype(float).reshape(len(n), size)
+            norm = np.sqrt((total * total).sum(1, keepdims=True))
+            out = np.divide(total, norm, out=np.zeros_like(total), where=norm > 0)
+            on = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(on)), pa.ListArray.from_arrays(pa.array(np.arange(len(on) + 1) * size, pa.int32()), pa.array(out[on].reshape(-1)))], names=["id", "embedding"])
+
+    h = docs.select("id", F.transform(words, lambda w: F.xxhash64(w)).alias("h")).filter("h is not null")
+    return bounded(h).mapInArrow(run, f"id {kind}, embedding array<double>")
+
+
+def _added(docs: DataFrame, size: int) -> DataFrame:
+    """The same over all rows of an id, whose slots are added up in partial aggregates."""
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
     e = docs.select("id", F.explode(words).alias("w")).groupBy("id", F.xxhash64("w").alias("h")).agg(F.count(F.lit(1)).alias("tf"))
     sign = F.when(F.pmod(F.shiftright("h", 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)
@@ -91,6 +117,25 @@ def embed(docs: DataFrame, size: int = 64) -> DataFrame:
     return m.select("id", raw.alias("embedding"))
 
 
+#: Repeated ids that every task may hold; more are met in a shuffle.
+FEW = 100_000
+
+
+def embed(docs: DataFrame, size: int = 64) -> DataFrame:
+    """A deterministic embedding: hashed words, signed, sublinear counts,
+    scaled to length 1. Stands in where no model is at hand. Texts of one id
+    count as one text; only words of ids that are repeated are exchanged."""
+    docs = docs.select("id", "text")
+    often = docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("id").alias("__id"))
+    n = often.limit(FEW + 1).count()
+    if not n:
+        return _slots(docs, size)
+    if n <= FEW:
+        often = F.broadcast(often)
+    same = F.col("id").eqNullSafe(F.col("__id"))
+    return _slots(docs.join(often, same, "left_anti"), size).unionByName(_added(docs.join(often, same, "left_semi"), size))
+
+
 def context(passages: DataFrame, most: int = 1200, by: Sequence[str] = ()) -> DataFrame:
     """One text (of each group ``by``) of ranked passages (rank, fy, section,
     source, text) with their labels; line breaks become blanks, long ones are
