@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -11,16 +12,20 @@ from pyspark.sql.window import Window
 from finweave.functions import constants as K
 from finweave.functions.num import div
 
-#: Words on either side of a name that are its context, and words of a bucket of positions.
-REACH, BUCKET = 10, 32
+#: Words on either side of a name that are its context.
+REACH = 10
+NAME = r"^\p{Lu}\p{Ll}+$"
 
 
-def tokens(docs: DataFrame) -> DataFrame:
+def tokens(docs: DataFrame, marks: Sequence[str] | None = None) -> DataFrame:
     """document_id, at (place among the words, from 0), core (the word without
     what is no letter at its ends) and closed (something else than a letter
-    ends the word) of (document_id, text)."""
+    ends the word) of (document_id, text); with ``marks`` only of words that
+    hold a capital or are one of these."""
     words = F.filter(F.split(F.col("text"), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
     each = docs.select("document_id", F.posexplode(words).alias("at", "word"))
+    if marks is not None:
+        each = each.filter(F.col("word").rlike(r"\p{Lu}|^[^\p{L}]*(?:" + "|".join(map(re.escape, marks)) + r")[^\p{L}]*$"))
     return each.select("document_id", "at", F.regexp_replace("word", r"^[^\p{L}]+|[^\p{L}]+$", "").alias("core"), F.col("word").rlike(r"[^\p{L}]$").alias("closed"))
 
 
@@ -28,7 +33,7 @@ def names(words: DataFrame) -> DataFrame:
     """document_id, start, last (places) and entity of runs of two or more
     capitalised words; a run goes on while nothing but a letter ends a word."""
     w = Window.partitionBy("document_id").orderBy("at")
-    c = words.filter(F.col("core").rlike(r"^\p{Lu}\p{Ll}+$"))
+    c = words.filter(F.col("core").rlike(NAME))
     opens = F.when((F.lag("at").over(w) == F.col("at") - 1) & ~F.lag("closed").over(w), 0).otherwise(1)
     c = c.withColumn("opens", opens).withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = c.groupBy("document_id", "run").agg(F.min("at").alias("start"), F.max("at").alias("last"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "core"))), lambda x: x["core"]), " ").alias("entity"))
@@ -40,19 +45,20 @@ def entity_sentiment(docs: DataFrame, positive: Sequence[str] = K.POSITIVE, nega
     lexicon within ``reach`` words of a mention) and sentiment: the mean over
     mentions of (positive - negative) / (positive + negative), 0 without any.
 
-    Names meet lexicon words by buckets of positions: a mention goes to the
-    buckets that its context touches, a word is in one, so a long text costs no
-    pairs of all its names and words. Null texts have no names; repeated
+    Only capitalised and lexicon words take part. They are sorted once by
+    document and place; lexicon words within reach are the difference of two
+    running counts, at a name's ends. Null texts have no names; repeated
     documents count each time.
     """
-    words = tokens(docs)
+    words = tokens(docs, (*positive, *negative))
     mark = F.when(F.lower("core").isin(*positive), 1).when(F.lower("core").isin(*negative), -1)
-    marks = words.withColumn("mark", mark).filter("mark is not null").select("document_id", "at", "mark", F.floor(F.col("at") / BUCKET).alias("bucket"))
-    spans = names(words)
-    touched = F.sequence(F.floor((F.col("start") - reach) / BUCKET), F.floor((F.col("last") + reach) / BUCKET))
-    near = spans.withColumn("bucket", F.explode(touched)).join(marks, ["document_id", "bucket"]).filter(F.col("at").between(F.col("start") - reach, F.col("last") + reach))
-    each = near.select("document_id", "start", "entity", "mark").unionByName(spans.select("document_id", "start", "entity", F.lit(0).alias("mark")))
-    count = lambda sign: F.count_if(F.col("mark") == sign)
-    mention = each.groupBy("document_id", "start", "entity").agg(count(1).alias("p"), count(-1).alias("n"))
+    c = words.select("document_id", F.col("at").cast("long").alias("at"), "core", "closed", F.col("core").rlike(NAME).alias("name"), mark.alias("mark")).filter("name or mark is not null")
+    w = Window.partitionBy("document_id").orderBy("at")
+    goes_on = (F.lag("at").over(w) == F.col("at") - 1) & F.lag("name").over(w) & ~F.lag("closed").over(w)
+    upto = lambda sign, to: F.count_if(F.col("mark") == sign).over(w.rangeBetween(Window.unboundedPreceding, to))
+    c = c.withColumns({"opens": F.when(F.col("name") & ~F.coalesce(goes_on, F.lit(False)), 1).otherwise(0), "p0": upto(1, -reach - 1), "p1": upto(1, reach), "n0": upto(-1, -reach - 1), "n1": upto(-1, reach)})
+    c = c.withColumn("run", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("name")
+    entity = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "core"))), lambda x: x["core"]), " ")
+    runs = c.groupBy("document_id", "run").agg((F.max("at") > F.min("at")).alias("long"), entity.alias("entity"), (F.max("p1") - F.min("p0")).alias("p"), (F.max("n1") - F.min("n0")).alias("n"))
     score = F.coalesce(div(F.col("p") - F.col("n"), F.col("p") + F.col("n")), F.lit(0.0))
-    return mention.groupBy("document_id", "entity").agg(F.count(F.lit(1)).alias("mentions"), F.sum("p").alias("positive"), F.sum("n").alias("negative"), F.avg(score).alias("sentiment"))
+    return runs.filter("long").groupBy("document_id", "entity").agg(F.count(F.lit(1)).alias("mentions"), F.sum("p").alias("positive"), F.sum("n").alias("negative"), F.avg(score).alias("sentiment"))
